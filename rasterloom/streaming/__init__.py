@@ -1,0 +1 @@
+"""The engine is batch only: a raster is complete before it is analysed, so no streaming operator exists."""
