@@ -126,7 +126,7 @@ def ngram_hashes(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple
     keys, owners = [], []
     mix = np.uint64(0x9E3779B97F4A7C15)
     rolling = np.zeros(first[-1], dtype=np.uint64)
-    for k in range(1, max(sizes) + 1):
+    for k in range(1, max(sizes, default=0) + 1):
         shifted = np.zeros_like(buffer)
         shifted[: first[-1] - k + 1] = buffer[k - 1 :]
         rolling = (rolling ^ shifted) * mix
