@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, durable, full_text
 
 # The statistics judged, the slack below which a fence never comes, and the sides on which it stands.
-RULES = {"symbol_rate": (0.25, "high"), "dup_line_rate": (0.25, "high"), "repeat_rate": (0.15, "high"), "word_length": (2.5, "both"), "upper_rate": (0.25, "high")}
+RULES = {"symbol_rate": (0.25, "high"), "dup_line_rate": (0.4, "high"), "repeat_rate": (0.3, "high"), "word_length": (2.5, "both"), "upper_rate": (0.25, "high")}
 
 
 def let(value: Column, body) -> Column:
