@@ -61,7 +61,8 @@ def byte_slices(batches, column: str, most: int = 16 << 20):
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and the number of words of each text. Nulls have none."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    # The copy matters: some Arrow kernels misread a large string array that is a slice.
+    texts = texts.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(texts))))
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = parts.flatten()
     keep = pc.not_equal(flat, "")
