@@ -25,7 +25,7 @@ def _fit_and_label(features: DataFrame, min_cluster_size: int, min_samples: int,
             m = hdbscan.fit(np.stack(pdf["f"].to_numpy()), min_cluster_size, min_samples)
             return pdf[["pixel_id", "row", "col"]].assign(label=m.labels.astype("int32"), prob=m.probabilities.astype("float32"))
 
-        return features.groupBy(F.lit(1)).applyInPandas(run, LABELS)  # the fit is one task; its size is checked
+        return features.withColumn("fit", F.lit(1)).groupBy("fit").applyInPandas(run, LABELS)  # the fit is one task; its size is checked
     spark = features.sparkSession
     drawn = spark.createDataFrame(pd.DataFrame({"pixel_id": np.sort(ids)}))
     sample = features.join(F.broadcast(drawn), "pixel_id", "left_semi").select("pixel_id", "f").toPandas().sort_values("pixel_id")
@@ -46,7 +46,7 @@ def hdbscan_global(features: DataFrame, min_cluster_size: int = 1000, min_sample
 
 def tile_grid(pixels: DataFrame, tile_size: int, min_tile_pixels: int) -> DataFrame:
     """(tile_id, tr, tc, n_pixels): tiles with enough pixels, numbered in row-major order."""
-    tiles = pixels.groupBy(F.floor(F.col("row") / tile_size).alias("tr"), F.floor(F.col("col") / tile_size).alias("tc")).agg(F.count("*").alias("n_pixels")).filter(F.col("n_pixels") >= min_tile_pixels)
+    tiles = pixels.groupBy(F.floor(F.col("row") / tile_size).cast("int").alias("tr"), F.floor(F.col("col") / tile_size).cast("int").alias("tc")).agg(F.count("*").alias("n_pixels")).filter(F.col("n_pixels") >= min_tile_pixels)
     return tiles.withColumn("tile_id", (F.row_number().over(W.orderBy("tr", "tc")) - 1).cast("int"))  # a row a tile
 
 
@@ -157,13 +157,14 @@ def knn_vote(unassigned: DataFrame, assigned: DataFrame, k: int = 5, block: int
     """
     n = assigned.count()
     blocks = max(1, -(-n // block))
-    left = unassigned.select("pixel_id", "f").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("pixel_id"), F.lit(8)))
-    right = assigned.select("pixel_id", "f", "label").withColumn("block", F.pmod(F.xxhash64("pixel_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    # Both sides may come from one frame, so their columns get names of their own.
+    left = unassigned.select(F.col("pixel_id").alias("q_id"), F.col("f").alias("q_f")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q_part", F.pmod(F.xxhash64("q_id"), F.lit(8)))
+    right = assigned.select(F.col("pixel_id").alias("r_id"), F.col("f").alias("r_f"), F.col("label").alias("r_label")).withColumn("r_block", F.pmod(F.xxhash64("r_id"), F.lit(blocks)).cast("int")).withColumn("r_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"pixel_id": pd.Series(dtype="int64"), "label": pd.Series(dtype="int32"), "d": pd.Series(dtype="float64"), "other": pd.Series(dtype="int64")})
-        x, y = np.stack(a["f"].to_numpy()).astype(float), np.stack(b["f"].to_numpy()).astype(float)
+        x, y = np.stack(a["q_f"].to_numpy()).astype(float), np.stack(b["r_f"].to_numpy()).astype(float)
         out = []
         for lo in range(0, len(x), 1024):
             part = x[lo : lo + 1024]
@@ -171,12 +172,12 @@ def knn_vote(unassigned: DataFrame, assigned: DataFrame, k: int = 5, block: int
             m = min(len(y), k + max(3, k // 2))
             pick = np.argpartition(rough, m - 1, axis=1)[:, :m]
             d = np.sqrt(((part[:, None, :] - y[pick]) ** 2).sum(2))
-            order = np.lexsort((b["pixel_id"].to_numpy()[pick], d), axis=1)[:, :k]
+            order = np.lexsort((b["r_id"].to_numpy()[pick], d), axis=1)[:, :k]
             pick, d = np.take_along_axis(pick, order, 1), np.take_along_axis(d, order, 1)
-            out.append(pd.DataFrame({"pixel_id": np.repeat(a["pixel_id"].to_numpy()[lo : lo + 1024], pick.shape[1]), "label": b["label"].to_numpy()[pick].ravel(), "d": d.ravel(), "other": b["pixel_id"].to_numpy()[pick].ravel()}))
+            out.append(pd.DataFrame({"pixel_id": np.repeat(a["q_id"].to_numpy()[lo : lo + 1024], pick.shape[1]), "label": b["r_label"].to_numpy()[pick].ravel(), "d": d.ravel(), "other": b["r_id"].to_numpy()[pick].ravel()}))
         return pd.concat(out)
 
-    close = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(near, "pixel_id long, label int, d double, other long")
+    close = left.groupBy("q_block", "q_part").cogroup(right.groupBy("r_block", "r_part")).applyInPandas(near, "pixel_id long, label int, d double, other long")
     return vote(close.withColumn("rank", F.row_number().over(W.partitionBy("pixel_id").orderBy("d", "other"))).filter(F.col("rank") <= k))
 
 
