@@ -103,7 +103,15 @@ def segment_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def ngram_hashes(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def ngram_hashes(words: pa.Array, sizes: tuple[int, ...], buckets: int, at_once: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
+    """``_ngrams`` of many words, some at a time, so that its working arrays stay small."""
+    parts = [_ngrams(words.slice(i, at_once), sizes, buckets) for i in range(0, len(words), at_once)]
+    if not parts:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    return np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _ngrams(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte n-grams of each word inside boundary marks, and the whole word.
 
     Returns the buckets of all words one after another, and how many each word has
@@ -145,4 +153,4 @@ def ngram_hashes(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple
     owners.append(np.arange(n))
     key, own = np.concatenate(keys).astype(np.int64), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return key[order], np.bincount(own, minlength=n)
+    return key[order].astype(np.int32), np.bincount(own, minlength=n)

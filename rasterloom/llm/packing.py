@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """
 
     def run(batches):
-        for batch in byte_slices(batches, "text", 24 << 20):
+        for batch in byte_slices(batches, "text", 16 << 20):
             ids, n = encode_texts(batch.column(1), tokenizer_path)
             n1 = n + 1
             first = starts(n1)

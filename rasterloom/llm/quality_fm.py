@@ -97,7 +97,7 @@ class Machine:
         first = structure(texts, flat, code, words, n)
         keys, per = ngram_hashes(words, (), self.buckets)  # without n-grams: the words alone
         doc = np.repeat(np.arange(len(n)), n)
-        cell, times = np.unique(doc * np.int64(self.buckets) + keys[code], return_counts=True)
+        cell, times = np.unique(doc * np.int64(self.buckets) + keys[code].astype(np.int64), return_counts=True)
         doc, key = np.divmod(cell, self.buckets)
         norm = np.sqrt(np.bincount(doc, weights=times.astype(float) ** 2, minlength=len(n)))
         value = times / norm[doc]
@@ -172,7 +172,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_clas
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, modulus, held_out, id_col, text_col))
 
     def run(batches):
-        for b in byte_slices(batches, "text", 24 << 20):
+        for b in byte_slices(batches, "text", 8 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(model.value.score(b.column(1)), pa.float64())], names=["id", "held_out", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -28,8 +28,11 @@ class SubwordModel:
         """Per word, the mean embedding of its n-grams times the softmax weights (label 1 minus label 0)."""
         direction = (self.weights[:, 1] - self.weights[:, 0]).astype(np.float64)
         per_bucket = self.embedding @ direction
-        keys, n = ngram_hashes(words, SIZES, len(self.embedding))
-        return segment_sum(per_bucket[keys], n) / np.maximum(n, 1)
+        out = []
+        for i in range(0, len(words), 32_768):
+            keys, n = ngram_hashes(words.slice(i, 32_768), SIZES, len(self.embedding))
+            out.append(segment_sum(per_bucket[keys], n) / np.maximum(n, 1))
+        return np.concatenate(out) if out else np.zeros(0)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of label 1 of each text: softmax of the average over its words."""
@@ -139,7 +142,7 @@ def with_scores(docs: DataFrame, model: SubwordModel, text_col: str = "text") ->
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
 
     def run(batches):
-        for b in byte_slices(batches, f"c{at}", 24 << 20):
+        for b in byte_slices(batches, f"c{at}", 8 << 20):
             score = shared.value.score(b.column(at).cast(pa.large_string()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "s"])
 
