@@ -103,7 +103,7 @@ def fit(sample: pd.DataFrame, buckets: int = 1 << 17, dim: int = 4, epochs: int
         p[np.arange(n), y] -= 1
         p *= balance[:, None]
         d_bag = p @ weights.T
-        d_e = segment_sum((d_bag[doc] * value[:, None])[by_slot], per_slot) + decay / len(e) * e
+        d_e = segment_sum((d_bag[doc] * value[:, None])[by_slot], per_slot) + decay / max(1, len(e)) * e
         for (x, m, v, r), g in zip(state, (d_e, bag.T @ p, p.sum(axis=0))):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
