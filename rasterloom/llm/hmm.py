@@ -192,7 +192,7 @@ def _load(blob: bytes) -> list[np.ndarray]:
     return [got[k] for k in got.files]
 
 
-def blocks_of(docs: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, most: int = 16 << 20) -> DataFrame:
+def blocks_of(docs: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, most: int = 10 << 20) -> DataFrame:
     """Documents as bounded blocks: a dictionary, its training counts, and the texts as places in it."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), full_text(F.col(text_col)).alias("text"), (remainder(F.col(id_col), modulus) == held_out).alias("held_out"))
@@ -220,8 +220,8 @@ def blocks_of(docs: DataFrame, modulus: int, held_out: int, id_col: str, text_co
 def _sequences(batch: pa.RecordBatch, row: int, classes: Classes, train_only: bool):
     """Class codes, lengths, word classes and dictionary codes of one block."""
     lengths = batch.column("lengths")[row].values.to_numpy(zero_copy_only=False).astype(np.int64)
-    code = np.frombuffer(batch.column("codes")[row].as_py(), dtype="<i4").astype(np.int64)
-    klass = classes.of(batch.column("words")[row].values)
+    code = np.frombuffer(batch.column("codes")[row].as_buffer(), dtype="<i4")
+    klass = classes.of(batch.column("words")[row].values).astype(np.int32)
     if train_only:
         learn = ~batch.column("held_out")[row].values.to_numpy(zero_copy_only=False)
         code, lengths = code[np.repeat(learn, lengths)], lengths[learn]
