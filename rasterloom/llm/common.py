@@ -34,6 +34,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the shuffle files behind a finished intermediate are removed once its plan is collected
     return spark.read.schema(df.schema).parquet(path)
 
 
