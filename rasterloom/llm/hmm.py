@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, durable, encode_words, full_text, ragged_take, remainder, segment_sum, split_words, starts
+from .common import byte_slices, durable, encode_words, full_text, ngram_hashes, ragged_take, remainder, segment_sum, split_words, starts
 
 END = ""  # no word is empty; the end token stands first in every block's dictionary
 
@@ -228,6 +228,57 @@ def _sequences(batch: pa.RecordBatch, row: int, classes: Classes, train_only: bo
     return klass[code], lengths, klass, code
 
 
+def vocabulary_of(blocks: DataFrame, parts: int, frequent: int, shared: int) -> DataFrame:
+    """The exact training counts of all words, found and sent back part by part of the vocabulary.
+
+    A block sends each part its words as one row, not a row a word. Kinds of rows:
+    0: ``counts`` of the words of ``part`` that ``block`` lists, in its order;
+    1: ``n`` tokens and ``v`` distinct words of a shared class ``at`` (-1: the end token);
+    2: a ``word`` that may be among the ``frequent`` most frequent, with its count ``n``.
+    """
+
+    def send(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                words = b.column(1)[r].values.cast(pa.large_string())
+                part = ngram_hashes(words, (), parts)[0]
+                order = np.argsort(part, kind="stable")
+                found, first = np.unique(part[order], return_index=True)
+                offsets = pa.array([*first, len(order)], pa.int32())
+                joined = pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(order))), pa.scalar(" ", pa.large_string()))
+                counts = pa.ListArray.from_arrays(offsets, b.column(2)[r].values.cast(pa.int32()).take(pa.array(order)))
+                block = pa.array(np.full(len(found), b.column(0)[r].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), block, joined.cast(pa.string()), counts], names=["part", "block", "words", "counts"])
+
+    def count(key, rows):
+        listed = pc.split_pattern(rows["words"].combine_chunks().cast(pa.large_string()), " ")
+        words, code = encode_words(listed.flatten())
+        counts = rows["counts"].combine_chunks()
+        total = np.bincount(code, weights=counts.flatten().to_numpy(zero_copy_only=False), minlength=len(words)).astype(np.int64)
+        n = len(rows)
+        back = pa.ListArray.from_arrays(pa.array(starts(pc.list_value_length(counts).to_numpy(zero_copy_only=False)), pa.int32()), pa.array(total[code], pa.int64()))
+        seen = np.flatnonzero(total > 0)
+        words, total = words.take(pa.array(seen)), total[seen]
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        klass = np.where(size == 0, -1, Classes([], shared).of(words))
+        held, place = np.unique(klass, return_inverse=True)
+        few = pa.table({"n": total, "word": words}).filter(pa.array((size > 0) & (size <= 64)))
+        few = few.take(pc.sort_indices(few, [("n", "descending"), ("word", "ascending")])[: frequent - 1])
+        shape = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("counts", pa.list_(pa.int64())), ("at", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("word", pa.string())])
+        part = lambda k: pa.array(np.full(k, key[0].as_py()), pa.int64())
+        rows_of = lambda kind, k, **x: pa.table([x[f.name] if f.name in x else pa.array(np.full(k, kind), f.type) if f.name == "kind" else part(k) if f.name == "part" else pa.nulls(k, f.type) for f in shape], schema=shape)
+        return pa.concat_tables(
+            [
+                rows_of(0, n, block=rows["block"].combine_chunks(), counts=back),
+                rows_of(1, len(held), at=pa.array(held, pa.int64()), n=pa.array(np.bincount(place, weights=total, minlength=len(held)).astype(np.int64)), v=pa.array(np.bincount(place, minlength=len(held)).astype(np.int64))),
+                rows_of(2, len(few), n=few["n"], word=few["word"].cast(pa.string())),
+            ]
+        )
+
+    sent = blocks.select("block", "words", "counts").mapInArrow(send, "part long, block long, words string, counts array<int>")
+    return sent.groupBy("part").applyInArrow(count, "kind int, part long, block long, counts array<long>, at long, n long, v long, word string")
+
+
 def gathered_counts(blocks: DataFrame, shared, fan: int = 16) -> list[np.ndarray]:
     """One Baum-Welch pass over every training document; counts are summed as a tree, ``fan`` at a time."""
 
@@ -287,20 +338,22 @@ def score(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = durable(blocks_of(docs, modulus, held_out, id_col, text_col))
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    vocabulary = durable(listed.groupBy("word").agg(F.sum("n").alias("c")))
-    known = vocabulary.filter("c > 0")
-    n_all, v_all = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = known.filter((F.octet_length("word") <= 64) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(frequent - 1).collect()
+    entries = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    parts = 16 + entries // 200_000  # a part is counted in one task, whatever the input
+    vocabulary = durable(vocabulary_of(blocks, parts, frequent, shared_classes))
+    sums = vocabulary.filter("kind = 1").groupBy("at").agg(F.sum("n"), F.sum("v")).collect()  # a row a class
+    top = vocabulary.filter("kind = 2").orderBy(F.desc("n"), "word").limit(frequent - 1).select("word", "n").collect()
+    n_all, v_all = sum(r[1] for r in sums), sum(r[2] for r in sums)
     classes = Classes([END, *(r.word for r in top)], shared_classes)
-
-    def classify(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(classes.of(b.column(0)), pa.int64()), b.column(1)], names=["class", "c"])
-
-    n_class, v_class = np.zeros(classes.size), np.zeros(classes.size)
-    for r in known.select("word", "c").mapInArrow(classify, "class long, c long").groupBy("class").agg(F.sum("c"), F.count("*")).collect():  # a row a class
-        n_class[r[0]], v_class[r[0]] = r[1], r[2]
+    lead, n_class, v_class = len(classes.frequent), np.zeros(classes.size), np.zeros(classes.size)
+    for at, n, v in sums:
+        place = 0 if at < 0 else lead + at
+        n_class[place], v_class[place] = n, v
+    if top:
+        n_class[1:lead], v_class[1:lead] = [r.n for r in top], 1
+        shared = lead + Classes([], shared_classes).of(pa.array(classes.frequent[1:], pa.large_string()))
+        np.subtract.at(n_class, shared, n_class[1:lead])
+        np.subtract.at(v_class, shared, 1)
     base = (n_class + 0.5) / (n_class.sum() + 0.5 * classes.size)
 
     drawn = blocks.select("block", "held_out", "lengths", "words", "codes").orderBy(F.xxhash64("block")).limit(sample_blocks)
@@ -328,8 +381,8 @@ def score(
     shared = spark.sparkContext.broadcast((model, classes, inside))  # states x classes, whatever the input
     whole = np.log10(n_all + 0.5 * (v_all + 1))
 
-    by_block = listed.select("block", "pos", "word").join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("known"))  # bounded by the block's dictionary
-    ready = blocks.drop("counts").join(by_block, "block").select("ids", "held_out", "lengths", "words", "codes", F.col("known.pos").alias("pos"), F.col("known.c").alias("c"))
+    by_block = vocabulary.filter("kind = 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("known"))  # bounded by the block's dictionary
+    ready = blocks.drop("counts").join(by_block, "block").select("ids", "held_out", "lengths", "words", "codes", F.flatten("known.counts").alias("c"))
 
     def run(batches):
         model, classes, inside = shared.value
@@ -337,7 +390,8 @@ def score(
             for r in range(b.num_rows):
                 flat, lengths, klass, code = _sequences(b, r, classes, False)
                 c = np.zeros(len(klass), dtype=np.int64)
-                c[b.column("pos")[r].values.to_numpy(zero_copy_only=False)] = b.column("c")[r].values.to_numpy(zero_copy_only=False)
+                part = ngram_hashes(b.column("words")[r].values.cast(pa.large_string()), (), parts)[0]
+                c[np.argsort(part, kind="stable")] = b.column("c")[r].values.to_numpy(zero_copy_only=False)
                 log_c = np.log10(c + 0.5)
                 base_score = segment_sum((log_c - whole)[code], lengths)
                 within = np.where(klass < len(classes.frequent), 0.0, log_c - inside[klass])
