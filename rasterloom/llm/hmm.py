@@ -356,7 +356,8 @@ def score(
         np.subtract.at(v_class, shared, 1)
     base = (n_class + 0.5) / (n_class.sum() + 0.5 * classes.size)
 
-    drawn = blocks.select("block", "held_out", "lengths", "words", "codes").orderBy(F.xxhash64("block")).limit(sample_blocks)
+    chosen = [r.block for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(sample_blocks).collect()]
+    drawn = blocks.select("block", "held_out", "lengths", "words", "codes").filter(F.col("block").isin(chosen))
 
     def begin(batches):
         flats, lengths = [], []
