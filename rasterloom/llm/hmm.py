@@ -192,7 +192,7 @@ def _load(blob: bytes) -> list[np.ndarray]:
     return [got[k] for k in got.files]
 
 
-def blocks_of(docs: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, most: int = 10 << 20) -> DataFrame:
+def blocks_of(docs: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, most: int = 4 << 20) -> DataFrame:
     """Documents as bounded blocks: a dictionary, its training counts, and the texts as places in it."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), full_text(F.col(text_col)).alias("text"), (remainder(F.col(id_col), modulus) == held_out).alias("held_out"))
@@ -370,7 +370,8 @@ def score(
         model = first_model(np.concatenate([*flats, np.zeros(0, dtype=np.int64)]).astype(np.int64), np.concatenate([*lengths, np.zeros(0, dtype=np.int64)]).astype(np.int64), base, states)
         yield pa.RecordBatch.from_arrays([pa.array([_dump([model.start, model.move, model.emit])], pa.binary())], names=["blob"])
 
-    model = Model(*_load(drawn.coalesce(1).mapInArrow(begin, "blob binary").first()[0]))
+    none = np.zeros(0, dtype=np.int64)
+    model = Model(*_load(drawn.coalesce(1).mapInArrow(begin, "blob binary").first()[0])) if chosen else first_model(none, none, base, states)
     for _ in range(rounds):
         counts = gathered_counts(blocks, spark.sparkContext.broadcast((model, classes)))
         if not counts:
