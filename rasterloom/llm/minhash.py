@@ -1,0 +1,131 @@
+"""Near-duplicates by word-shingle similarity: MinHash bands find candidates, true Jaccard decides."""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import byte_slices, durable, full_text
+from .simhash import components
+
+#: Two sets of similarity 0.8 share one of BANDS keys of ROWS minima each with probability 1 - (1 - 0.8^5)^25 = 0.99995.
+BANDS, ROWS = 25, 5
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_RNG = np.random.default_rng(20)
+_TURN = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; a shorter text is one shingle."""
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    parts = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype=np.uint64)
+
+
+def signatures(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each text's set of shingles, and its band keys (both as signed numbers)."""
+    sets = [np.unique(shingles(t, words)) for t in texts]
+    flat, counts = np.concatenate(sets), np.array([len(s) for s in sets])
+    first = np.cumsum(counts) - counts
+
+    def mixed(v):
+        v = (v ^ (v >> np.uint64(31))) * _MIX
+        return v ^ (v >> np.uint64(29))
+
+    name = mixed(np.add.reduceat(mixed(flat), first) + counts.astype(np.uint64))
+    keys = np.zeros((len(texts), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(texts), band + 1, dtype=np.uint64)
+        for i in range(band * ROWS, (band + 1) * ROWS):
+            turned = (flat ^ _FLIP[i]) * _TURN[i]
+            key = mixed(key ^ np.minimum.reduceat(turned ^ (turned >> np.uint64(32)), first))
+        keys[:, band] = key
+    return name.view(np.int64), keys.view(np.int64)
+
+
+def with_bands(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``docs`` with last columns ``_node`` (name of the set of shingles) and ``_bands``; no shuffle."""
+    at = docs.columns.index(text_col)
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+
+    def run(batches):
+        for b in byte_slices(batches, f"c{at}", 2 << 20):
+            name, keys = signatures(b.column(at).cast(pa.string()).to_pylist(), words)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name), bands], names=[*b.schema.names, "n", "k"])
+
+    return renamed.mapInArrow(run, f"{kinds}, n long, k array<long>").toDF(*docs.columns, "_node", "_bands")
+
+
+def similar(pairs: DataFrame, marked: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of ``percent`` or more."""
+    pairs = durable(pairs)
+    wanted = pairs.select("a").union(pairs.select("b")).distinct()
+    texts = durable(marked.select(F.col("_node").alias("a"), full_text(F.col(text_col)).alias("t")).join(wanted, "a", "left_semi").dropDuplicates(["a"]))
+
+    def run(batches):
+        for batch in batches:
+            for b in byte_slices([batch], "tb", 2 << 20):
+                known, yes = {}, []
+
+                def of(node, text):
+                    if node not in known:
+                        known[node] = np.unique(shingles(text, words))
+                    return known[node]
+
+                for a, o, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
+                    p, q = of(a, x), of(o, y)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    yes.append(100 * both >= percent * (len(p) + len(q) - both))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    both = pairs.join(texts.withColumnRenamed("t", "ta"), "a").join(texts.select(F.col("a").alias("b"), F.col("t").alias("tb")), "b")
+    return durable(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def linked(marked: DataFrame, text_col: str = "text", words: int = 5, percent: int = 80, reach: int = 16) -> DataFrame:
+    """(node, root) of the sets that are joined to others by chains of similar pairs.
+
+    A key's members first meet its least member. Where a key then still spans several
+    groups, each member meets the ``reach`` before it in the order of a further band
+    key, so keys of at most ``reach`` + 1 members are compared in all pairs, and rows
+    grow in proportion to members. Every pair is decided by its true similarity.
+    """
+    index = marked.select("_node", "_bands", F.posexplode("_bands").alias("at", "key"))
+    index = durable(index.select("key", F.col("_node").alias("a"), F.element_at("_bands", (F.col("at") + 1) % BANDS + 1).alias("next")).distinct())
+    held = durable(index.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).filter("b < z").drop("z"))
+    shared = durable(index.join(held, "key"))
+    edges = similar(shared.filter("a > b").select("a", "b").distinct(), marked, text_col, words, percent)
+    rooted = shared.join(components(edges), F.col("a") == F.col("node"), "left").select("key", "a", "b", "next", F.coalesce("root", "a").alias("root"))
+    rooted = durable(rooted)
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
+    order = Window.partitionBy("key").orderBy("next", "a")
+    before = rooted.join(open_keys, "key", "left_semi").select("a", "b", "root", F.array(*(F.struct(F.lag("a", i).over(order).alias("o"), F.lag("root", i).over(order).alias("r")) for i in range(1, reach + 1))).alias("before"))
+    more = before.select("a", "b", "root", F.explode("before").alias("x")).filter("x.o is not null and x.r <> root and a <> b and x.o <> b")
+    more = more.select(F.greatest("a", "x.o").alias("a"), F.least("a", "x.o").alias("b")).distinct()
+    return components(edges.unionByName(similar(more, marked, text_col, words, percent)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the least id, nulls last.
+
+    Near-duplicates share ``percent`` of their distinct lower-case word shingles or
+    more, or are joined by a chain of such. Null, empty and blank texts are equal; a
+    text shorter than a shingle is one shingle. Repeated rows of the kept id count as one.
+    """
+    marked = durable(with_bands(docs, text_col, words))
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("least")
+    per_node = marked.groupBy("_node").agg(least)
+    rooted = per_node.join(linked(marked, text_col, words, percent), F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "least")
+    best = rooted.groupBy("_root").agg(F.min(F.struct("least", "_node")).alias("best"))
+    chosen = durable(best.select(F.col("best._node").alias("_node"), F.col("best.least.id").alias("_id")))
+    kept = marked.join(chosen, (marked["_node"] == chosen["_node"]) & marked[id_col].eqNullSafe(chosen["_id"]), "left_semi")
+    return kept.drop("_bands").dropDuplicates([id_col, "_node"]).drop("_node")
