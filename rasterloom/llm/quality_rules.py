@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, durable, full_text
 
-# The statistics judged, the slack below which a fence never comes, and the sides on which it stands.
-RULES = {"symbol_rate": (0.25, "high"), "dup_line_rate": (0.4, "high"), "repeat_rate": (0.3, "high"), "word_length": (2.5, "both"), "upper_rate": (0.25, "high")}
+# The statistics judged, the slack added to a fence, and the sides on which it stands. "rare" statistics
+# are zero in most documents, where quartiles say nothing: their fence comes from the documents that have any.
+RULES = {"symbol_rate": (0.05, "high"), "dup_line_rate": (0.02, "rare"), "repeat_rate": (0.02, "rare"), "word_length": (1.0, "both"), "upper_rate": (0.03, "high")}
 
 
 def let(value: Column, body) -> Column:
@@ -75,25 +76,36 @@ def failed(shortest: int = 20, most_repeats: int = 30) -> Column:
     return (F.col("_n_words") < shortest) | (100 * F.col("_n_repeat_words") > most_repeats * F.col("_n_words"))
 
 
-def fences(measures: DataFrame, reach: float = 3.0, enough: int = 200, k: int = 200) -> DataFrame:
+def fences(measures: DataFrame, reach: float = 3.0, enough: int = 200, k: int = 200, top: float = 0.95, enough_rare: int = 50) -> DataFrame:
     """Per ``_lang`` and ``_source``, the bounds of every rule.
 
     Each task sketches its own rows (KLL, size ``k``), so a hot source costs one sketch a
     task; sketches of sources merge into those of languages and of everything. A bound
-    is a quartile moved outwards by ``reach`` interquartile ranges and the rule's slack.
-    A source with fewer than ``enough`` documents in a language borrows the sketches of
-    the language, and that of everything where the language is small as well.
+    is a quartile moved outwards by ``reach`` interquartile ranges and the rule's slack;
+    of a rare statistic, the quantile ``top`` of its values above zero and the slack.
+    A source with fewer than ``enough`` documents (``enough_rare`` above zero) in a
+    language borrows the sketches of the language, and that of everything where the
+    language is small as well; a rare statistic that few documents of all have has no fence.
     """
     names = list(RULES)
-    own = measures.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(f"_{r}", F.lit(k)).alias(r) for r in names))
+    value = {r: F.when(F.col(f"_{r}") > 0, F.col(f"_{r}")) if side == "rare" else F.col(f"_{r}") for r, (_, side) in RULES.items()}
+    own = measures.groupBy("_lang", "_source").agg(*(F.count(value[r]).alias(f"n_{r}") for r in names), *(F.kll_sketch_agg_double(value[r], F.lit(k)).alias(r) for r in names))
     own = durable(own)
-    by_lang = own.groupBy("_lang").agg(F.sum("n").alias("n_lang"), *(F.kll_merge_agg_double(r, F.lit(k)).alias(f"{r}_lang") for r in names))
-    every = own.groupBy(F.lit(1).alias("one")).agg(*(F.kll_merge_agg_double(r, F.lit(k)).alias(f"{r}_all") for r in names))
-    joined = own.join(by_lang, "_lang").withColumn("one", F.lit(1)).join(every, "one")
+
+    def merged(by, mark):
+        return own.groupBy(by).agg(*(F.sum(f"n_{r}").alias(f"n_{r}_{mark}") for r in names), *(F.kll_merge_agg_double(r, F.lit(k)).alias(f"{r}_{mark}") for r in names))
+
+    joined = own.join(merged("_lang", "lang"), "_lang").withColumn("one", F.lit(1)).join(merged(F.lit(1).alias("one"), "all"), "one")
 
     bounds = []
     for r, (slack, side) in RULES.items():
-        sketch = F.when(F.col("n") >= enough, F.col(r)).when(F.col("n_lang") >= enough, F.col(f"{r}_lang")).otherwise(F.col(f"{r}_all"))
+        least = enough_rare if side == "rare" else enough
+        sketch = F.when(F.col(f"n_{r}") >= least, F.col(r)).when(F.col(f"n_{r}_lang") >= least, F.col(f"{r}_lang"))
+        if side == "rare":
+            sketch = sketch.when(F.col(f"n_{r}_all") >= least, F.col(f"{r}_all"))
+            bounds.append((F.kll_sketch_get_quantile_double(sketch, F.lit(top).cast("double")) + slack).alias(f"{r}_most"))
+            continue
+        sketch = sketch.otherwise(F.col(f"{r}_all"))
         low, high = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25).cast("double")), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75).cast("double"))
         bounds.append((high + reach * (high - low) + slack).alias(f"{r}_most"))
         if side == "both":
