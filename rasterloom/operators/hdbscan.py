@@ -32,32 +32,42 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def core_distances(x: np.ndarray, k: int, chunk: int = 1024) -> np.ndarray:
-    """Distance to the k-th nearest point, the point itself counting as the first."""
-    k = min(k, len(x)) - 1
+def core_distances(x: np.ndarray, k: int, cells: int = 1 << 23) -> np.ndarray:
+    """Distance to the k-th nearest point, the point itself counting as the first; about ``cells`` distances at a time."""
+    k, chunk = min(k, len(x)) - 1, max(1, min(1024, cells // max(len(x), 1)))
     return np.concatenate([np.partition(_distances(x[i : i + chunk], x), k, axis=1)[:, k] for i in range(0, len(x), chunk)])
 
 
-def fit(x: np.ndarray, min_cluster_size: int, min_samples: int = 0, most_points: int = 60_000) -> Fitted:
-    """Mutual-reachability spanning tree, condensed tree, excess-of-mass selection without the root."""
+def fit(x: np.ndarray, min_cluster_size: int, min_samples: int = 0, most_points: int | None = None) -> Fitted:
+    """Mutual-reachability spanning tree, condensed tree, excess-of-mass selection without the root.
+
+    Exact for any number of points: memory grows with the points, time with their square.
+    A caller that cannot wait sets ``most_points``, above which the fit is refused.
+    """
     x = np.asarray(x, dtype=np.float64)
     n, k = len(x), min_samples or min_cluster_size
-    if n > most_points:
+    if most_points is not None and n > most_points:
         raise FlowError(f"a fit of {n} points in one task is refused (limit {most_points}); set subsample_n")
     nothing = Fitted(x, np.zeros(n), np.full(n, -1), np.zeros(n), k, np.zeros(n, int), np.zeros(n), np.array([-1]), np.zeros(1), np.array([-1]), np.zeros(1))
     if n < max(2, min_cluster_size):
         return nothing
     core = core_distances(x, k)
-    # Prim: the row of the point just taken is the only one in memory.
+    # Prim: the row of the point just taken is the only one in memory; taken points are swept out at each halving.
+    ids, xs, cs = np.arange(n), x, core
     left, near, best = np.ones(n, dtype=bool), np.zeros(n, dtype=int), np.full(n, np.inf)
-    at, edges = 0, np.zeros((n - 1, 3))
+    at, edges, swept = 0, np.zeros((n - 1, 3)), n
     for i in range(n - 1):
         left[at] = False
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
+        here, x_here, core_here = ids[at], xs[at], cs[at]
+        if n - 1 - i <= swept // 2:
+            ids, xs, cs, near, best = ids[left], xs[left], cs[left], near[left], best[left]
+            left = np.ones(len(ids), dtype=bool)
+            swept = len(ids)
+        d = np.maximum(np.maximum(np.sqrt(((xs - x_here) ** 2).sum(1)), cs), core_here)
         closer = left & (d < best)
-        best[closer], near[closer] = d[closer], at
+        best[closer], near[closer] = d[closer], here
         at = int(np.where(left, best, np.inf).argmin())
-        edges[i] = near[at], at, best[at]
+        edges[i] = near[at], ids[at], best[at]
     edges = edges[np.argsort(edges[:, 2], kind="stable")]
     # Single linkage: node n + i joins two nodes at height[i].
     up, size = np.arange(2 * n - 1), np.concatenate([np.ones(n, int), np.zeros(n - 1, int)])
