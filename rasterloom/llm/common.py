@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local session may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,7 +38,54 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/rasterloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # the shuffle files behind a finished intermediate are removed once its plan is collected
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes what ``durable`` wrote for frames that no later plan reads."""
+    for df in frames:
+        jvm, path = df.sparkSession.sparkContext._jvm, df.written_to
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted`` column names, made longer where ``taken`` holds them (in any case of letters)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plainly(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., and the plain name of each column.
+
+    Whatever names the columns have (dots, or those of a working column), they cannot
+    meet the working columns of an operator; ``toDF(*docs.columns)`` gives them back.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
+def met(big: DataFrame, small: DataFrame, on: list[str], rows: int, most_hot: int = 4096) -> DataFrame:
+    """Inner join of ``big`` with one row a key of ``small``, whose column ``n`` counts the key's rows in ``big``.
+
+    Of ``rows`` rows, at most ``most_hot`` keys can hold more than one in ``most_hot``;
+    those keys, and only those, are broadcast, so that their rows stay where they are.
+    All others are sorted and merged, no task getting more of a key than that share.
+    """
+    limit = max(1000, -(-rows // most_hot))
+    hot, cold = small.filter(F.col("n") > limit), small.filter(F.col("n") <= limit).hint("merge")
+    if hot.isEmpty():
+        return big.join(cold, on)
+    there = big.join(F.broadcast(hot), on)
+    return there.unionByName(big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
 
 def remainder(column, modulus: int):

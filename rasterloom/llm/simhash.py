@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, durable, full_text
+from .common import byte_slices, durable, forget, full_text, met
 
 BITS = 64
 
@@ -76,43 +76,51 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, that join exactly the fingerprints within two bits of each other.
 
     ``fps`` has one row per distinct ``fp``. A variant held by two fingerprints is a
-    candidate pair, verified by its differing bits. A variant held by more is not
-    expanded into pairs: its members go to a second exact index, in which two
-    fingerprints within two bits always meet at a common neighbour one bit from both,
-    and all that meet there are within two bits; each is linked to the least of them.
-    Rows grow in proportion to fingerprints, however large a group is.
+    candidate pair, verified by its differing bits. Members of a variant held by more
+    meet its least member, verified alike; their other pairs are not expanded but found
+    through a second exact index: two fingerprints within two bits always meet at a
+    common neighbour one bit from both, and all that meet there are within two bits;
+    each is linked to the least of them. Rows grow in proportion to fingerprints,
+    however large a group is, and no variant's members gather in one task.
     """
+    fps = durable(fps)
+    count = fps.count()
+    n = count * BITS
+    fps = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, count // 50_000), "fp")  # each row becomes 64
     indexed = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     held = durable(indexed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).filter("n > 1"))
-    pairs = held.filter("n = 2").select("a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    crowded = held.filter("n > 2").select("key")
-    members = indexed.join(crowded, "key", "left_semi").select("fp").distinct()
-    meeting = members.select("fp", F.explode(near(F.col("fp"))).alias("z"))
-    least = meeting.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    stars = meeting.join(least, "z").filter(F.col("fp") > F.col("b")).select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
+    pairs = held.filter("n = 2").select("a", "b")
+    crowd = durable(met(indexed, held.filter("n > 2").select("key", "n", "b"), ["key"], n).select(F.col("fp").alias("a"), "b").distinct())
+    meeting = crowd.select("a").distinct().select("a", F.explode(near(F.col("a"))).alias("z"))
+    least = durable(meeting.groupBy("z").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1"))
+    stars = met(meeting, least, ["z"], n).filter("a > b").select("a", "b")
+    return pairs.unionByName(crowd.filter("a > b")).filter(close).unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the edges with the least node reachable from it.
 
-    Alternating large-star and small-star steps, each written to the shared folder;
-    a logarithmic number of rounds. Nothing is collected but two sums per round.
+    Alternating large-star and small-star steps, each written to the shared folder,
+    until nothing changes; a logarithmic number of rounds. Least neighbours are found
+    by partial sums, and nodes of many edges do not gather them in a task (``met``).
+    Nothing is collected but two sums per round.
     """
     edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        near_ = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        large = durable(met(both.filter("v > u"), near_, ["u"], 2 * state[0]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u > v").distinct())
+        below = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = met(large, below, ["u"], 2 * state[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u > v")
-        edges = durable(small.distinct())
+        old, edges = edges, durable(small.distinct())
+        forget(old, near_, large, below)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -141,15 +149,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the least id, nulls last.
-
-    Repeated rows of that id and fingerprint count as one.
-    """
-    marked = durable(with_fingerprints(docs, text_col, words))
-    per_fp = marked.groupBy("_fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("least"))
-    rooted = per_fp.join(groups(marked), F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("root", "_fp").alias("_root"), "least")
-    best = rooted.groupBy("_root").agg(F.min(F.struct("least", "_fp")).alias("best"))
-    chosen = durable(best.select(F.col("best._fp").alias("_fp"), F.col("best.least.id").alias("_id")))
-    kept = marked.join(chosen, (marked["_fp"] == chosen["_fp"]) & marked[id_col].eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_fp"]).drop("_fp")
