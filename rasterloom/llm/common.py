@@ -88,6 +88,25 @@ def met(big: DataFrame, small: DataFrame, on: list[str], rows: int, most_hot: in
     return there.unionByName(big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
 
+def looked_up(big: DataFrame, small: DataFrame, on: list[str], most: int = 100_000) -> DataFrame:
+    """``big`` with the columns of its key's row of ``small``; no row is lost where there is none.
+
+    ``small`` has a row a key and a column ``n``, the key's rows in ``big``. Up to ``most``
+    keys are broadcast, after counting them; of more, only the hot ones are (see ``met``).
+    """
+    found, rows = small.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if found <= most:
+        return big.join(F.broadcast(small.drop("n")), on, "left")
+    hot = small.filter(F.col("n") > max(1000, -(-rows // 4096)))
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.join(F.broadcast(hot.select(*on)), on, "left_anti").hint("merge"), on, "left")
+    return big.join(F.broadcast(hot), on).unionByName(rest).drop("n")
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, for ``F.col`` and ``select``."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def remainder(column, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, full_text
+from .common import SPACE, durable, full_text, looked_up, plainly
 
-# The statistics judged, the slack added to a fence, and the sides on which it stands. "rare" statistics
-# are zero in most documents, where quartiles say nothing: their fence comes from the documents that have any.
-RULES = {"symbol_rate": (0.05, "high"), "dup_line_rate": (0.02, "rare"), "repeat_rate": (0.02, "rare"), "word_length": (1.0, "both"), "upper_rate": (0.03, "high")}
+# The statistics judged, and where their fences stand: "both" sides or the "high" side of all values; "rare"
+# statistics are zero in most documents, so their quartiles are those of the documents that have any; "gap" statistics part
+# two kinds of documents, so their fence stands in the widest gap of the upper tail.
+RULES = {"symbol_rate": "gap", "dup_line_rate": "rare", "repeat_rate": "rare", "word_length": "both", "upper_rate": "high"}
+TAIL = [0.75 + i / 100 for i in range(26)]
 
 
 def let(value: Column, body) -> Column:
@@ -42,7 +44,10 @@ def repeated_words(hashes: Column, width: int) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text", width: int = 8) -> DataFrame:
-    """``docs`` with the base counts and the rates that the rules judge, in columns that start with ``_``."""
+    """``docs`` with the base counts and the rates that the rules judge, in columns that start with ``_``.
+
+    Null and blank texts count as no words and have rates of zero; other columns pass.
+    """
     text = full_text(F.col(text_col))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     out = docs.withColumns({"_words": words_in(text), "_lines": lines})
@@ -76,20 +81,23 @@ def failed(shortest: int = 20, most_repeats: int = 30) -> Column:
     return (F.col("_n_words") < shortest) | (100 * F.col("_n_repeat_words") > most_repeats * F.col("_n_words"))
 
 
-def fences(measures: DataFrame, reach: float = 3.0, enough: int = 200, k: int = 200, top: float = 0.95, enough_rare: int = 50) -> DataFrame:
-    """Per ``_lang`` and ``_source``, the bounds of every rule.
+def fences(measures: DataFrame, reach: float = 3.0, enough: int = 200, k: int = 200, enough_rare: int = 50) -> DataFrame:
+    """Per ``_lang`` and ``_source``, the bounds of every rule and ``n``, the documents judged.
 
     Each task sketches its own rows (KLL, size ``k``), so a hot source costs one sketch a
     task; sketches of sources merge into those of languages and of everything. A bound
-    is a quartile moved outwards by ``reach`` interquartile ranges and the rule's slack;
-    of a rare statistic, the quantile ``top`` of its values above zero and the slack.
+    is a quartile moved outwards by ``reach`` interquartile ranges; nothing is added. Of
+    a "rare" statistic the quartiles are those of its values above zero. Of a "gap"
+    statistic the bound moves up from there to the middle (by ratio, one symbol in a
+    text of median length being the unit) of the widest gap between neighbouring
+    percentiles of the upper tail, where one is wider than a factor of two.
     A source with fewer than ``enough`` documents (``enough_rare`` above zero) in a
     language borrows the sketches of the language, and that of everything where the
     language is small as well; a rare statistic that few documents of all have has no fence.
     """
-    names = list(RULES)
-    value = {r: F.when(F.col(f"_{r}") > 0, F.col(f"_{r}")) if side == "rare" else F.col(f"_{r}") for r, (_, side) in RULES.items()}
-    own = measures.groupBy("_lang", "_source").agg(*(F.count(value[r]).alias(f"n_{r}") for r in names), *(F.kll_sketch_agg_double(value[r], F.lit(k)).alias(r) for r in names))
+    names = [*RULES, "n_words"]
+    value = {r: F.when(F.col(f"_{r}") > 0, F.col(f"_{r}")) if RULES.get(r) == "rare" else F.col(f"_{r}").cast("double") for r in names}
+    own = measures.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *(F.count(value[r]).alias(f"n_{r}") for r in names), *(F.kll_sketch_agg_double(value[r], F.lit(k)).alias(r) for r in names))
     own = durable(own)
 
     def merged(by, mark):
@@ -97,34 +105,46 @@ def fences(measures: DataFrame, reach: float = 3.0, enough: int = 200, k: int =
 
     joined = own.join(merged("_lang", "lang"), "_lang").withColumn("one", F.lit(1)).join(merged(F.lit(1).alias("one"), "all"), "one")
 
+    def sketch(r: str) -> Column:
+        least = enough_rare if RULES.get(r) == "rare" else enough
+        nearest = F.when(F.col(f"n_{r}") >= least, F.col(r)).when(F.col(f"n_{r}_lang") >= least, F.col(f"{r}_lang"))
+        return nearest.when(F.col(f"n_{r}_all") >= least, F.col(f"{r}_all")) if RULES.get(r) == "rare" else nearest.otherwise(F.col(f"{r}_all"))
+
+    def quantile(r: str, at: float) -> Column:
+        return F.kll_sketch_get_quantile_double(sketch(r), F.lit(at).cast("double"))
+
+    def in_gap(r: str, high: Column) -> Column:
+        tail, unit = F.kll_sketch_get_quantile_double(sketch(r), F.array(*(F.lit(x).cast("double") for x in TAIL))), 1.0 / quantile("n_words", 0.5)
+
+        def widest(t: Column) -> Column:
+            gaps = F.zip_with(F.slice(t, 1, len(TAIL) - 1), F.slice(t, 2, len(TAIL) - 1), lambda x, y: F.struct(F.when(y > high, (y + unit) / (x + unit)).otherwise(0.0).alias("ratio"), (F.sqrt((x + unit) * (y + unit)) - unit).alias("middle")))
+            return F.array_max(gaps)
+
+        return let(let(tail, widest), lambda g: F.when(g["ratio"] > 2, F.greatest(high, g["middle"])).otherwise(high))
+
     bounds = []
-    for r, (slack, side) in RULES.items():
-        least = enough_rare if side == "rare" else enough
-        sketch = F.when(F.col(f"n_{r}") >= least, F.col(r)).when(F.col(f"n_{r}_lang") >= least, F.col(f"{r}_lang"))
-        if side == "rare":
-            sketch = sketch.when(F.col(f"n_{r}_all") >= least, F.col(f"{r}_all"))
-            bounds.append((F.kll_sketch_get_quantile_double(sketch, F.lit(top).cast("double")) + slack).alias(f"{r}_most"))
-            continue
-        sketch = sketch.otherwise(F.col(f"{r}_all"))
-        low, high = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25).cast("double")), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75).cast("double"))
-        bounds.append((high + reach * (high - low) + slack).alias(f"{r}_most"))
+    for r, side in RULES.items():
+        low, high = quantile(r, 0.25), quantile(r, 0.75)
+        most = high + reach * (high - low)
+        bounds.append((in_gap(r, most) if side == "gap" else most).alias(f"{r}_most"))
         if side == "both":
-            bounds.append((low - reach * (high - low) - slack).alias(f"{r}_least"))
-    return joined.select("_lang", "_source", *bounds)
+            bounds.append((low - reach * (high - low)).alias(f"{r}_least"))
+    return joined.select("_lang", "_source", "n", *bounds)
 
 
-def judged(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with base counts, ``_failed`` and ``_kept``."""
-    marks = {"_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))}
-    m = measured(docs.select(*(keep or docs.columns), *(c for c in [text_col] if keep and c not in keep), *(v.alias(k) for k, v in marks.items())), text_col)
-    m = durable(m if keep is None or text_col in keep else m.drop(text_col)).withColumn("_failed", failed())
-    out = m.join(fences(m.filter(~F.col("_failed"))), ["_lang", "_source"], "left")
+def judged(docs: DataFrame, names: dict[str, str], lang_col: str, source_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (plain, see ``plainly``) with base counts, ``_failed`` and ``_kept``."""
+    lang, source, text = names[lang_col], names[source_col], names[text_col]
+    marks = {"_lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source).cast("string"), F.lit(""))}
+    m = measured(docs.select(*keep, *(c for c in [text] if c not in keep), *(v.alias(k) for k, v in marks.items())), text)
+    m = durable(m if text in keep else m.drop(text)).withColumn("_failed", failed())
+    out = looked_up(m, durable(fences(m.filter(~F.col("_failed")))), ["_lang", "_source"])
     fine = F.lit(True)
-    for r, (_, side) in RULES.items():
-        fine = fine & (F.col(f"_{r}") <= F.col(f"{r}_most"))
+    for r, side in RULES.items():
+        fine = fine & F.coalesce(F.col(f"_{r}") <= F.col(f"{r}_most"), F.lit(True))
         if side == "both":
-            fine = fine & (F.col(f"_{r}") >= F.col(f"{r}_least"))
-    return out.withColumn("_kept", ~F.col("_failed") & F.coalesce(fine, F.lit(True)))
+            fine = fine & F.coalesce(F.col(f"_{r}") >= F.col(f"{r}_least"), F.lit(True))
+    return out.withColumn("_kept", ~F.col("_failed") & fine)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -134,13 +154,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     documents of its language and source that pass it. Null and blank texts have no
     words and fail; null languages and sources form groups of their own with the empty
     name; repeated rows get a row each; values equal to a fence pass; an empty table
-    gives no rows; further columns are not read.
+    gives no rows; further columns, whatever their names, are not read.
     """
-    out = judged(docs, lang_col, source_col, text_col, keep=[id_col])
+    plain, names = plainly(docs)
+    out = judged(plain, names, lang_col, source_col, text_col, [names[id_col]])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(id_col, *(F.col(f"_{c}").alias(c) for c in counts), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return out.select(F.col(names[id_col]).alias(id_col), *(F.col(f"_{c}").alias(c) for c in counts), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that a rule rejects; columns stay as they are."""
-    return judged(docs, lang_col, source_col, text_col).filter("_kept").select(*docs.columns)
+    """``docs`` without the documents that a rule rejects; columns of any names stay as they are. Rows are judged as by ``quality_rules``."""
+    plain, names = plainly(docs)
+    return judged(plain, names, lang_col, source_col, text_col, plain.columns).filter("_kept").select(*plain.columns).toDF(*docs.columns)
