@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, full_text
+from .common import durable, fresh, full_text, looked_up, met, plainly
 from .quality_rules import words_in
 
 
@@ -60,22 +60,26 @@ def unit(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def plan(docs: DataFrame, repetition_limit: float | None, target_entropy: float | None, seed: int, id_col: str, source_col: str, text_col: str, buckets: int = 4096) -> DataFrame:
-    """Per source: tokens, weight, repetition, whole epochs, and the last place taken in the last epoch."""
+def plan(docs: DataFrame, repetition_limit: float | None, target_entropy: float | None, seed: int, id_col: str, source_col: str, text_col: str, bucket_rows: int = 20_000) -> DataFrame:
+    """Per source: tokens, weight, repetition, whole epochs, and the last place taken in the last epoch.
+
+    A null source is the empty name; sources without tokens are used once; an empty table gives no rows.
+    """
     meta = durable(docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(id_col).alias("id"), F.size(words_in(full_text(F.col(text_col)))).cast("long").alias("tokens")))
     totals = durable(meta.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     exponent = tempered(totals, repetition_limit, target_entropy)
-    largest = totals.agg(F.max("tokens")).first()[0] or 1
+    largest, widest, n_docs = totals.agg(F.max("tokens"), F.max("docs"), F.sum("docs")).first()
+    largest, buckets = largest or 1, max(64, (widest or 0) // bucket_rows)
     share = F.when(F.col("tokens") > 0, F.col("tokens") / float(largest))
     rated = totals.withColumn("repetition", F.coalesce(F.pow(share, F.lit(exponent - 1.0)), F.lit(1.0))).withColumn("epochs", F.floor("repetition").cast("int"))
     rated = rated.withColumn("left", ((F.col("repetition") - F.col("epochs")) * F.col("tokens")).cast("double")).withColumn("exponent", F.lit(exponent))
     # The last epoch takes documents by place until the source's budget is spent. Places are
     # summed by bucket first, so no task holds more than a bucket of a source.
-    placed = meta.join(rated.filter("left > 0").select("source", "left", "epochs"), "source").select("source", "left", "tokens", unit(F.col("id"), F.lit(seed), F.col("epochs")).alias("place"))
+    placed = met(meta, durable(rated.filter("left > 0").select("source", "left", "epochs", F.col("docs").alias("n"))), ["source"], n_docs or 0).select("source", "left", "tokens", unit(F.col("id"), F.lit(seed), F.col("epochs")).alias("place"))
     placed = placed.withColumn("bucket", F.floor(F.col("place") * buckets).cast("int"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum"))
     sums = sums.withColumn("base", F.sum("sum").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("sum"))
-    run = placed.join(sums.filter("base >= 0"), ["source", "bucket"]).filter(F.col("base") <= F.col("left"))
+    run = placed.join(sums.filter("base >= 0").hint("merge"), ["source", "bucket"]).filter(F.col("base") <= F.col("left"))
     run = run.withColumn("total", F.col("base") + F.sum("tokens").over(W.partitionBy("source", "bucket").orderBy("place").rangeBetween(W.unboundedPreceding, 0)))
     last = run.filter(F.col("total") <= F.col("left")).groupBy("source").agg(F.max("place").alias("last"))
     weight = F.col("repetition") * F.col("tokens")
@@ -105,13 +109,24 @@ def mix(
     A null source is the one with the empty name; null and blank texts cost nothing and
     are used as often as their source; repeated rows are used each; documents of equal
     place (rows of one id) enter the last epoch together or not; an empty table gives
-    no rows; columns of the input stay as they are.
+    no rows; columns of the input stay as they are, and an added column whose name the
+    input has gets a longer one (``_epoch_``).
     """
-    by = plan(docs, repetition_limit, target_entropy, seed, id_col, source_col, text_col).select(F.col("source").alias("_source"), F.col("repetition").alias("_rep"), F.col("epochs").alias("_n"), F.col("last").alias("_last"), F.col("weight").alias("_weight"), F.col("budget").alias("_budget"))
-    rows = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).join(by, "_source")
-    extra = F.when(unit(F.col(id_col), F.lit(seed), F.col("_n")) <= F.col("_last"), 1).otherwise(0)
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1 + extra)))
-    spot = F.least((F.col("_epoch") + unit(F.col(id_col), F.lit(seed), F.col("_epoch"))) / F.col("_rep"), F.lit(1.0 - 1e-12))
-    blocks = F.greatest(F.lit(1.0), F.ceil(F.col("_budget") / block_tokens).cast("double"))
-    rows = rows.withColumn("_block", F.floor(spot * blocks).cast("long")).withColumn("_place", F.xxhash64(F.col(id_col), F.lit(seed), F.col("_epoch"), F.lit(1)))
-    return rows.select(*docs.columns, "_epoch", "_block", "_place", "_weight")
+    plain, names = plainly(docs)
+    ident, source, text = names[id_col], names[source_col], names[text_col]
+    by = plan(plain, repetition_limit, target_entropy, seed, ident, source, text).select("source", "repetition", "epochs", "last", "weight", "budget", F.col("docs").alias("n"))
+    rows = looked_up(plain.withColumn("source", F.coalesce(F.col(source).cast("string"), F.lit(""))), by, ["source"])
+    extra = F.when(unit(F.col(ident), F.lit(seed), F.col("epochs")) <= F.col("last"), 1).otherwise(0)
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1 + extra)))
+    spot = F.least((F.col("epoch") + unit(F.col(ident), F.lit(seed), F.col("epoch"))) / F.col("repetition"), F.lit(1.0 - 1e-12))
+    blocks = F.greatest(F.lit(1.0), F.ceil(F.col("budget") / block_tokens).cast("double"))
+    rows = rows.withColumn("block", F.floor(spot * blocks).cast("long")).withColumn("place", F.xxhash64(F.col(ident), F.lit(seed), F.col("epoch"), F.lit(1)))
+    return rows.select(*plain.columns, "epoch", "block", "place", "weight").toDF(*docs.columns, *fresh(docs.columns, "_epoch", "_block", "_place", "_weight"))
+
+
+def mixed_in_order(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``mix``, dealt and sorted by block and place, with the columns of ``docs`` alone."""
+    out = mix(docs, **options)
+    width = len(docs.columns)
+    rows = out.toDF(*(f"c{i}" for i in range(width)), "epoch", "block", "place", "weight")
+    return rows.repartitionByRange("block", "place").sortWithinPartitions("block", "place").select(*rows.columns[:width]).toDF(*docs.columns)

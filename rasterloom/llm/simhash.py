@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, durable, forget, full_text, met
+from .common import byte_slices, durable, forget, full_text, met, plainly
 
 BITS = 64
 
@@ -149,3 +149,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked fingerprints: that of the least id, nulls last.
+
+    Groups are those of ``near_duplicates``; of repeated rows one is kept; columns of any names pass.
+    """
+    plain, names = plainly(docs)
+    marked = durable(with_fingerprints(plain, names[text_col], words).withColumn("row", F.monotonically_increasing_id()))
+    least = F.min(F.struct(F.col(names[id_col]).isNull().alias("none"), F.col(names[id_col]).alias("id"), F.col("row"))).alias("least")
+    per_fp = marked.groupBy("_fp").agg(least)
+    rooted = per_fp.join(groups(marked), F.col("_fp") == F.col("node"), "left").select(F.coalesce("root", "_fp").alias("root"), "least")
+    chosen = durable(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")))
+    return marked.join(chosen.hint("merge"), "row", "left_semi").select(*plain.columns).toDF(*docs.columns)
