@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, encode_words, full_text, ngram_hashes, ragged_take, remainder, segment_sum, split_words, starts
+from .common import byte_slices, encode_words, full_text, ngram_hashes, plainly, quoted, ragged_take, remainder, segment_sum, split_words, starts
 from .features import labelled_sample
 
 SIZES = (3, 4, 5)
@@ -42,14 +42,17 @@ class SubwordModel:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def fit(sample: pd.DataFrame, buckets: int = 1 << 17, dim: int = 4, epochs: int = 20, rate: float = 0.03, decay: float = 1e-4, least: int = 3, chance: float = 3.5, seed: int = 7) -> SubwordModel:
+def fit(sample: pd.DataFrame, buckets: int = 1 << 17, dim: int = 4, epochs: int = 600, rate: float = 0.03, decay: float = 1e-4, least: int = 3, chance: float = 3.5, patience: int = 60, seed: int = 7) -> SubwordModel:
     """Adam on class-balanced cross-entropy over embeddings, softmax weights and bias jointly.
 
     An n-gram in fewer than ``least`` documents of the sample, or spread over the labels
     as by chance (within ``chance`` standard deviations), keeps a zero vector, so that
     little is learned by heart. The first coordinate starts from the n-gram's log-odds,
-    the others from small noise. A fifth of the sample sets the bias. With no rows, or
-    rows of one label, the score is a constant.
+    the others from small noise. A fifth of the sample is set aside: training ends once
+    its balanced loss has not fallen for ``patience`` steps (of at most ``epochs``), at the
+    parameters of the least loss, and it sets the bias. Where the fifth holds fewer than 20 texts of a
+    label, all rows train and the steps are ``epochs`` / 3. With no rows, or rows of one
+    label, the score is a constant.
     """
     y = sample["y"].to_numpy().astype(int) if len(sample) else np.zeros(0, dtype=int)
     weights = np.stack([np.full(dim, -20.0), np.full(dim, 20.0)], axis=1)
@@ -95,11 +98,19 @@ def fit(sample: pd.DataFrame, buckets: int = 1 << 17, dim: int = 4, epochs: int
     e, bias = embedding[slot_of], np.zeros(2)
     balance = np.where(y == 1, 0.5 / size[1], 0.5 / size[0]) * ~aside
     state = [(x, np.zeros_like(x), np.zeros_like(x), r) for x, r in ((e, rate), (weights, rate * 20), (bias, rate))]
-    for step in range(1, epochs + 1):
+    watch = np.where(y == 1, 0.5 / max(1, (aside & (y == 1)).sum()), 0.5 / max(1, (aside & (y == 0)).sum())) * aside
+    best, best_at, held = np.inf, 0, None
+    for step in range(1, (epochs if aside.any() else epochs // 3) + 1):
         bag = segment_sum(e[slot] * value[:, None], per_doc)
         logits = bag @ weights + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
+        if aside.any():
+            loss = -(watch * np.log(np.maximum(p[np.arange(n), y], 1e-12))).sum()
+            if loss < best - 1e-5:
+                best, best_at, held = loss, step, [x.copy() for x, *_ in state]
+            elif step - best_at >= patience:
+                break
         p[np.arange(n), y] -= 1
         p *= balance[:, None]
         d_bag = p @ weights.T
@@ -108,6 +119,8 @@ def fit(sample: pd.DataFrame, buckets: int = 1 << 17, dim: int = 4, epochs: int
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= r * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+    if held is not None:
+        e, weights, bias = held
     embedding[slot_of] = e
     model = SubwordModel(embedding.astype(np.float32), weights, bias)
     check = aside if aside.any() else np.ones(n, dtype=bool)
@@ -115,7 +128,11 @@ def fit(sample: pd.DataFrame, buckets: int = 1 << 17, dim: int = 4, epochs: int
 
 
 def calibrated(model: SubwordModel, sample: pd.DataFrame, y: np.ndarray, dear: float = 6.0) -> SubwordModel:
-    """Moves the bias so that a score of 0.3 parts the labels best; a share of 0 taken for 1 costs ``dear`` shares of 1 missed."""
+    """Moves the bias so that a score of 0.3 parts the labels best.
+
+    ``dear`` is a choice, not learned: a share of 0 taken for 1 costs as much as ``dear``
+    shares of 1 missed, as most texts of a corpus are not toxic.
+    """
     p = np.clip(model.score(pa.array(sample["text"])), 1e-12, 1 - 1e-12)
     logit = np.log(p / (1 - p))
     order = np.argsort(logit, kind="stable")
@@ -133,20 +150,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, modulus: in
     return fit(labelled_sample(docs, labels, "toxic", modulus, held_out, per_class, id_col, text_col))
 
 
-def with_scores(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column ``_toxicity``; all other columns pass unchanged, without a shuffle."""
-    at = docs.columns.index(text_col)
+def scored(docs: DataFrame, model: SubwordModel, text_at: int) -> DataFrame:
+    """``docs`` (columns c0, c1, ...) with a column ``score`` of the text in place ``text_at``, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x dim floats, whatever the input
-    names = [*docs.columns, "_toxicity"]
-    renamed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
 
     def run(batches):
-        for b in byte_slices(batches, f"c{at}", 8 << 20):
-            score = shared.value.score(b.column(at).cast(pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "s"])
+        for b in byte_slices(batches, f"c{text_at}", 8 << 20):
+            score = shared.value.score(b.column(text_at).cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "score"])
 
-    return renamed.mapInArrow(run, f"{kinds}, s double").toDF(*names)
+    return docs.mapInArrow(run, f"{kinds}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1000, modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,12 +173,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_cla
     an empty table gives no rows; further columns are not read.
     """
     model = train(docs, labels, per_class, modulus, held_out, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), full_text(F.col(text_col)).alias("text"), (remainder(F.col(id_col), modulus) == held_out).alias("held_out"))
-    scored = with_scores(rows, model)
-    return scored.select(F.col("id").alias(id_col), "held_out", F.col("_toxicity").alias("score"), (F.col("_toxicity") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col(quoted(id_col)).alias("c0"), full_text(F.col(quoted(text_col))).alias("c1"))
+    out = scored(rows, model, 1)
+    return out.select(F.col("c0").alias(id_col), (remainder(F.col("c0"), modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1000, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose score reaches the threshold; columns stay as they are."""
-    model = train(docs, labels, per_class, text_col=text_col)
-    return with_scores(docs, model, text_col).filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    """``docs`` without the documents whose score reaches the threshold.
+
+    Rows are scored as by ``toxicity``; columns of any names stay as they are.
+    """
+    plain, _ = plainly(docs)
+    kept = scored(plain, train(docs, labels, per_class, text_col=text_col), docs.columns.index(text_col)).filter(F.col("score") < threshold)
+    return kept.select(*plain.columns).toDF(*docs.columns)
