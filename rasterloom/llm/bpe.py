@@ -20,6 +20,8 @@ from .common import starts
 # The public pre-tokenisation pattern of byte-level BPE, and the characters taken on the fast way.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RARE = re.compile("[^\\u0000-\\u024f\\u0391-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u20ac\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
+# The pattern engine holds a stack frame a character for runs of white space; longer runs go through the library.
+LONG_SPACE = re.compile(r"\s{10000}")
 _LATIN = "a-zß-öø-ÿĀ-įı-ſ"
 PLAIN_WORD = "^[!-~À-įı-ſ]+$"
 WORD_PIECES = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\\s0-9{_LATIN}]+)"
@@ -84,14 +86,14 @@ class ByteEncoder:
             self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def count(self, text: str) -> int:
-        if not self.fast or RARE.search(text):
+        if not self.fast or RARE.search(text) or LONG_SPACE.search(text):
             return len(library(self.path).encode(text, add_special_tokens=False).ids)
         parts = self.special.split(text) if self.special else [text]
         return len(parts) - 1 + sum(len(self.encoding.encode_ordinary(p)) for p in parts if p)
 
     def lengths(self, text: str) -> np.ndarray:
         """The number of bytes of each token."""
-        if not self.fast or RARE.search(text):
+        if not self.fast or RARE.search(text) or LONG_SPACE.search(text):
             spans = library(self.path).encode(text, add_special_tokens=False).offsets
             width = starts(np.array([len(c.encode()) for c in text], dtype=np.int64))
             ends = np.maximum.accumulate(width[np.array([e for _, e in spans], dtype=np.int64)]) if spans else np.zeros(0, dtype=np.int64)
