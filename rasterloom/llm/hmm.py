@@ -57,52 +57,96 @@ class Model:
     emit: np.ndarray  # classes x states
 
 
-def count_pass(model: Model, flat: np.ndarray, lengths: np.ndarray, longest: int = 128, width: int = 2048) -> list[np.ndarray]:
-    """Expected starts, moves and emissions of one Baum-Welch step.
+def count_pass(model: Model, flat: np.ndarray, lengths: np.ndarray, longest: int = 1024, cells: int = 1 << 18) -> list[np.ndarray]:
+    """Expected starts, moves and emissions of one Baum-Welch step over whole sequences.
 
-    For training alone, sequences are cut into runs of at most ``longest`` tokens that
-    advance together; scoring never cuts.
+    Sequences advance together. One longer than ``longest`` is worked in stretches: what
+    the states know from all that lies before a stretch, and from all that lies after it, is
+    carried over by the products of the stretches' transfer matrices, and the move into
+    a stretch is counted with it, so the counts are those of the whole sequence.
     """
     k, classes = len(model.start), len(model.emit)
     starts_, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))
     cuts = -(-lengths // longest)
-    begin = np.repeat(starts(lengths)[:-1], cuts) + (np.arange(cuts.sum()) - np.repeat(starts(cuts)[:-1], cuts)) * longest
+    place = np.arange(cuts.sum()) - np.repeat(starts(cuts)[:-1], cuts)
+    begin = np.repeat(starts(lengths)[:-1], cuts) + place * longest
     size = np.minimum(longest, np.repeat(starts(lengths)[1:], cuts) - begin)
+    before, after = _context(model, flat, cuts, place, begin, size)
     order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
     emit = np.vstack([model.emit, np.ones(k)]).astype(np.float32)  # the last row fills ends
     move = model.move.astype(np.float32)
     padded = np.append(flat, classes)
-    for lo in range(0, len(begin), width):
-        b, n = begin[lo : lo + width], size[lo : lo + width]
-        steps, rows = int(n[0]), len(b)
+    lo = 0
+    while lo < len(order):
+        rows = order[lo : lo + max(1, cells // int(size[order[lo]]))]
+        lo += len(rows)
+        b, n, head = begin[rows], size[rows], place[rows] == 0
+        steps = int(n[0])
         at = b[None, :] + np.arange(steps)[:, None]
         real = np.arange(steps)[:, None] < n[None, :]
         obs = padded[np.where(real, at, len(flat))]
-        alpha, scale = np.empty((steps, rows, k), dtype=np.float32), np.empty((steps, rows, 1), dtype=np.float32)
-        a = model.start.astype(np.float32) * emit[obs[0]]
+        alpha, scale = np.empty((steps, len(rows), k), dtype=np.float32), np.empty((steps, len(rows), 1), dtype=np.float32)
+        prior = before[rows].astype(np.float32)
+        a = np.where(head[:, None], model.start.astype(np.float32), prior @ move) * emit[obs[0]]
         for t in range(steps):
             if t:
-                a = (a @ move) * emit[obs[t]]
+                a = np.where(real[t][:, None], (a @ move) * emit[obs[t]], a)
             scale[t] = np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
             a = a / scale[t]
             alpha[t] = a
-        beta = np.ones((rows, k), dtype=np.float32)
-        xi = np.zeros((k, k), dtype=np.float32)
+        beta = after[rows].astype(np.float32)
+        beta /= np.maximum((a * beta).sum(axis=1, keepdims=True), 1e-30)
+        xi = np.zeros((k, k), dtype=np.float64)
         for t in range(steps - 1, 0, -1):
-            g = emit[obs[t]] * beta / scale[t]
-            xi += alpha[t - 1].T @ (g * real[t][:, None])
+            g = emit[obs[t]] * beta / scale[t] * real[t][:, None]
+            xi += alpha[t - 1].T @ g
             alpha[t] *= beta
-            beta = g @ move.T
+            beta = np.where(real[t][:, None], g @ move.T, beta)
+        g = emit[obs[0]] * beta / scale[0]
+        xi += (prior * ~head[:, None]).T @ g
         alpha[0] *= beta
-        moves += xi * move
-        starts_ += alpha[0].sum(axis=0)
+        moves += xi * model.move
+        starts_ += alpha[0][head].sum(axis=0)
         seen = obs[real]
         for s in range(k):
             emits[:, s] += np.bincount(seen, weights=alpha[:, :, s][real], minlength=classes)
     return [starts_, moves, emits]
 
 
+def _context(model: Model, flat: np.ndarray, cuts: np.ndarray, place: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per stretch: the states' shares at the token before it, and the (scaled) likelihood of what follows it, by state."""
+    k = len(model.start)
+    before, after = np.ones((len(size), k)), np.ones((len(size), k))
+    doc = np.repeat(np.arange(len(cuts)), cuts)
+    several = np.flatnonzero(cuts[doc] > 1)
+    if not len(several):
+        return before, after
+    matrix = np.empty((len(size), k, k))
+    order = several[np.argsort(-size[several], kind="stable")]
+    for lo in range(0, len(order), 512):
+        rows = order[lo : lo + 512]
+        n, m3 = size[rows], np.tile(np.eye(k), (len(rows), 1, 1))
+        for t in range(int(n[0])):
+            m = int(np.searchsorted(-n, -t, side="left"))
+            x = (m3[:m] @ model.move) * model.emit[flat[begin[rows[:m]] + t]][:, None, :]
+            m3[:m] = x / x.max(axis=(1, 2), keepdims=True)
+        matrix[rows] = m3
+    first, last = np.flatnonzero(place == 0), np.flatnonzero(place == cuts[doc] - 1)
+    for d in np.flatnonzero(cuts > 1):
+        a = model.start * model.emit[flat[begin[first[d]]]]  # the first stretch begins without a move
+        for t in range(1, int(size[first[d]])):
+            a = (a @ model.move) * model.emit[flat[begin[first[d]] + t]]
+            a /= a.sum()
+        for i in range(first[d] + 1, last[d] + 1):
+            before[i] = a = a / a.sum()
+            a = a @ matrix[i]
+        b = np.ones(k)
+        for i in range(last[d] - 1, first[d] - 1, -1):
+            b = matrix[i + 1] @ b
+            after[i] = b = b / b.max()
+    return before, after
+
+
 def maximise(counts: list[np.ndarray], base: np.ndarray, prior: float = 200.0) -> Model:
     """New parameters; emissions are smoothed towards the overall class shares ``base``."""
     start = (counts[0] + 1.0) / (counts[0].sum() + len(counts[0]))
@@ -116,7 +160,7 @@ def first_model(flat: np.ndarray, lengths: np.ndarray, base: np.ndarray, states:
     rng = np.random.default_rng(seed)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     side = rng.integers(0, states, len(lengths))[doc] if len(lengths) else np.zeros(0, dtype=int)
-    counts = np.bincount(flat * states + side, minlength=len(base) * states).reshape(len(base), states).astype(float) if len(flat) else np.zeros((len(base), states))
+    counts = np.bincount(flat * states + side, minlength=len(base) * states).reshape(len(base), states).astype(float) if len(flat) else np.tile(1000.0 * base[:, None], (1, states))
     model = maximise([np.ones(states), np.eye(states) * 50 + 1, counts * rng.uniform(0.5, 1.5, counts.shape)], base, prior=20.0)
     for _ in range(rounds if len(flat) else 0):
         model = maximise(count_pass(model, flat, lengths), base, prior=50.0)
@@ -319,6 +363,7 @@ def score(
     held_out: int = 1,
     sample_blocks: int = 2,
     sample_tokens: int = 400_000,
+    window: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -329,8 +374,9 @@ def score(
     (c + 0.5) / (N_class + 0.5 (V_class + 1)) over tokens of shared classes; the
     probabilities of all tokens sum to one, with one unknown word a class. Counts of
     every training word are exact and stay distributed; starting parameters come from
-    at most ``sample_tokens`` tokens of ``sample_blocks`` blocks, after which every
-    round counts over all training documents. Null, empty and blank texts are the end
+    windows of ``window`` tokens drawn at random from ``sample_blocks`` blocks, at most
+    ``sample_tokens`` tokens, after which every round counts over all training
+    documents, each as one whole sequence. Words of more than 64 bytes always share a class. Null, empty and blank texts are the end
     token alone; repeated rows and null ids (crc32 of the empty text) get a row each;
     with no training document all counts are zero; an empty table gives no rows;
     further columns are not read.
@@ -364,9 +410,13 @@ def score(
         for b in batches:
             for r in range(b.num_rows):
                 flat, size, *_ = _sequences(b, r, classes, True)
-                fit = np.cumsum(size) <= sample_tokens // sample_blocks
-                flats.append(flat[: int(size[fit].sum())])
-                lengths.append(size[fit])
+                run = np.concatenate([np.full(x // window + 1, window) for x in size] or [size])
+                run[np.cumsum(size // window + 1) - 1] = size % window  # texts in windows of at most ``window`` tokens
+                run = run[run > 0] if len(size) else run
+                drawn_runs = np.random.default_rng(5).permutation(len(run))
+                drawn_runs = np.sort(drawn_runs[np.cumsum(run[drawn_runs]) <= sample_tokens // sample_blocks])
+                flats.append(flat[ragged_take(starts(run)[:-1][drawn_runs], run[drawn_runs])])
+                lengths.append(run[drawn_runs])
         model = first_model(np.concatenate([*flats, np.zeros(0, dtype=np.int64)]).astype(np.int64), np.concatenate([*lengths, np.zeros(0, dtype=np.int64)]).astype(np.int64), base, states)
         yield pa.RecordBatch.from_arrays([pa.array([_dump([model.start, model.move, model.emit])], pa.binary())], names=["blob"])
 
