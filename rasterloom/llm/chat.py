@@ -61,24 +61,23 @@ def format_chat(turns: DataFrame, budget: int = 1024, history: int = 256, conv_c
     Null roles and texts are empty; turns of one number are ordered by role and text, and
     repeated rows are turns of their own; null turn numbers come first; rows of null
     conversations form one conversation; an empty table gives no rows; further columns
-    are not read. Windows, not conversations, are gathered into rows.
+    are not read. Windows, not conversations, are gathered into rows; the turns of a
+    conversation are ordered in one task, which spills and holds a window at a time.
     """
     kept = spans(turns, budget, history, conv_col, turn_col, role_col, text_col)
     body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(">"))
     kept = kept.withColumns({"head": F.length(body).cast("long"), "piece": F.concat(body, escape(F.col("text")), F.lit(SHUT))})
     kept = kept.withColumn("size", F.length("piece").cast("long")).withColumn("reach", F.least(F.lit(history).cast("long"), F.col("half")))
-    fields = ["conv", "window", "place", "again", "role", "head", "size", "piece"]
-    own = kept.withColumn("again", F.lit(False))
-    edges = kept.groupBy("conv", "window").agg(F.min(F.when(~F.col("system"), F.col("before"))).alias("start"))
-    later = kept.filter(~F.col("system")).withColumn("next", F.explode(F.sequence(F.col("window") + 1, F.col("window") + 4)))
-    # No more than four windows begin within half a window's tokens, so four are tried.
-    l, e = later.alias("l"), edges.alias("e")
-    past = l.join(e, F.col("l.conv").eqNullSafe(F.col("e.conv")) & (F.col("l.next") == F.col("e.window"))).filter(F.col("e.start") - F.col("l.before") <= F.col("l.reach"))
-    past = past.select("l.conv", F.col("l.next").alias("window"), "l.place", F.lit(True).alias("again"), "l.role", "l.head", "l.size", "l.piece")
-    last = edges.groupBy("conv").agg(F.max("window").alias("last")).filter("last > 1").alias("z")
-    s = kept.filter("system").alias("s")
-    system = s.join(last, F.col("s.conv").eqNullSafe(F.col("z.conv"))).select("s.conv", F.explode(F.sequence(F.lit(2).cast("long"), F.col("z.last"))).alias("window"), "s.place", F.lit(True).alias("again"), "s.role", "s.head", "s.size", "s.piece")
-    every = own.select(*fields).unionByName(past.select(*fields)).unionByName(system.select(*fields))
+    # A turn is told where the next windows begin and names those that repeat it. No more
+    # than four begin within half a window's tokens, so four are tried. Texts move once, to their conversation.
+    by_window, whole = W.partitionBy("conv").orderBy("window"), W.partitionBy("conv")
+    begins = F.when(~F.col("system"), F.col("before"))
+    kept = kept.withColumns({f"start{i}": F.min(begins).over(by_window.rangeBetween(i, i)) for i in range(1, 5)}).withColumn("last", F.max("window").over(whole))
+    into = lambda window, again: F.struct(window.cast("long").alias("window"), F.lit(again).alias("again"))
+    repeats = F.filter(F.array(*(F.when(F.col(f"start{i}") - F.col("before") <= F.col("reach"), into(F.col("window") + i, True)) for i in range(1, 5))), lambda x: x.isNotNull())
+    each = F.transform(F.sequence(F.lit(2).cast("long"), F.col("last")), lambda x: into(x, True))
+    targets = F.concat(F.array(into(F.col("window"), False)), F.when(~F.col("system"), repeats).when(F.col("last") > 1, each).otherwise(F.filter(repeats, lambda x: F.lit(False))))
+    every = kept.withColumn("to", F.explode(targets)).select("conv", "to.window", "place", "to.again", "role", "head", "size", "piece")
     out = every.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("place", "again", "role", "head", "size", "piece"))).alias("t"))
     starts = F.transform(F.col("t"), lambda x, i: F.aggregate(F.slice(F.col("t"), F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["size"]))
     out = out.withColumn("at", starts)
