@@ -161,7 +161,7 @@ def test_symbol_fence_stands_in_the_gap(spark):
     assert all(got[i] for i in range(400)) and not any(got[1000 + i] for i in range(25))
 
 
-def test_crowded_variants_are_searched_exactly(spark):
+def test_crowded_variants_find_the_similar_pair(spark):
     """Many texts that share half of their words meet under common variants; the two similar ones among them are found."""
     rng = np.random.default_rng(8)
     shared = [f"t{j}" for j in range(150)]
