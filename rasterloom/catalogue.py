@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .functions.grammar import feature
 from .operators import cluster, masks, pixels, split, stencil, summary
 from .operators.pixels import Cube
-from .plans.flow import run_catalogue_flow
+from .plans.flow import builtin, lineage, run_catalogue_flow
+from .plans.stages import REGISTRY, Labels, named
 from .sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,7 +177,7 @@ def mask_stats(spark, sf):
 
 
 def _comp_sql(near: str, tail: str) -> str:
-    return f"""cells as (select cast("row" as bigint) * 2147483648 + "col" as k, cast("row" as bigint) as r, cast("col" as bigint) as c from raster where a < 90 and "row" < 40 and "col" < 40),
+    return f"""cells as (select cast("row" as bigint) * 2147483648 + "col" as k, cast("row" as bigint) as r, cast("col" as bigint) as c from raster where a < 90),
     reach(k, o) as (select k, k from cells union select reach.k, n.k from reach join cells m on m.k = reach.o join cells n on {near}),
     comp as (select k, min(o) as comp from reach group by 1) {tail}"""
 
@@ -195,7 +196,7 @@ _N8 = "greatest(abs(n.r - m.r), abs(n.c - m.c)) = 1"
 
 
 def _patch(spark, sf):
-    return levels(spark, sf).filter("row < 40 and col < 40").select("row", "col", (F.col("a") < 90).alias("mineral"))
+    return levels(spark, sf).select("row", "col", (F.col("a") < 90).alias("mineral"))
 
 
 @_rec(_N4, "select k // 2147483648 as \"row\", k % 2147483648 as \"col\", comp from comp")
@@ -208,7 +209,7 @@ def mask_components8_count(spark, sf):
     return masks.components(_patch(spark, sf), 8, tile=16).agg(F.countDistinct("comp").alias("n_components"))
 
 
-@_rec(_N4, ", big as (select comp from comp group by 1 having count(*) >= 4) select \"row\", \"col\", coalesce((\"row\" * 2147483648::bigint + \"col\") in (select k from comp where comp in (select comp from big)), false) as mineral from raster where \"row\" < 40 and \"col\" < 40")
+@_rec(_N4, ", big as (select comp from comp group by 1 having count(*) >= 4) select \"row\", \"col\", coalesce((\"row\" * 2147483648::bigint + \"col\") in (select k from comp where comp in (select comp from big)), false) as mineral from raster")
 def remove_small_objects(spark, sf):
     return masks.remove_small(_patch(spark, sf), 4, tile=16)
 
@@ -344,10 +345,10 @@ def pca_features(spark, sf):
     return pixels.pca(pixels.zscore(cube, mask), mask)[0]
 
 
-@query("""+e as (select vec_id as id, embedding as v from embeddings) select 'all' as part, count(*) as n, round(sum(v[1] * v[2])::double, 3) as dot from e""")
-def embedding_dot(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return e.agg(F.lit("all").alias("part"), F.count("*").alias("n"), F.round(F.sum((F.col("embedding")[0] * F.col("embedding")[1]).cast("double")), 3).alias("dot")).select("part", "n", "dot")
+@query('select cast(row_number() over (order by variance desc, channel) as int) as place, channel, round(variance, 6) as variance from (select \'A\' as channel, var_pop("A") as variance from mineral where mineral union all select \'B\', var_pop("B") from mineral where mineral union all select \'D\', var_pop("D") from mineral where mineral) order by 1 limit 2')
+def top_variance(spark, sf):
+    cube, _, mask = cube_of(spark, sf)
+    return summary.top_variance(cube, mask, 2).select("place", "channel", *r6("variance"))
 
 
 # --- tiles, registry, neighbours ----------------------------------------------------------
@@ -386,10 +387,7 @@ def registry_best_match(spark, sf):
 
 @query('+t as (select "row" // 16 as tr, "col" // 16 as tc from labels group by 1, 2 having count(distinct case when label >= 0 then label end) < 2) select "row", "col" from labels join t on "row" // 16 = tr and "col" // 16 = tc')
 def deferred_pixels(spark, sf):
-    labels, _ = labels_of(spark, sf)
-    keyed = labels.withColumn("tr", F.floor(F.col("row") / 16)).withColumn("tc", F.floor(F.col("col") / 16))
-    poor = keyed.groupBy("tr", "tc").agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n")).filter("n < 2")
-    return keyed.join(poor, ["tr", "tc"], "left_semi").select("row", "col")
+    return cluster.deferred_pixels(labels_of(spark, sf)[0], 16, 2).select("row", "col")
 
 
 _KNN = """+e as (select vec_id, label, embedding as v from embeddings),
@@ -460,8 +458,11 @@ def top_elements(spark, sf):
 
 @query('select "row", "col", label, n_name as name from labels left join nation on n_nationkey = label')
 def name_phases(spark, sf):
-    names = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("name"))
-    return labels_of(spark, sf)[0].select("row", "col", "label").join(F.broadcast(names), "label", "left").select("row", "col", "label", "name")
+    labels = labels_of(spark, sf)[0].select("row", "col", "label")
+    there = [r.label for r in labels.filter("label >= 0").select("label").distinct().collect()]  # a row a phase
+    given = spark.read.parquet(f"{sf}/nation.parquet").filter(F.col("n_nationkey").isin(there)).select("n_nationkey", "n_name").collect()
+    out = REGISTRY["name_phases"].run(spark, {"labels": Labels(labels, "cleaned")}, {"names": "; ".join(f"{r[0]}: {r[1]}" for r in given)})["labels"]
+    return named(out.df, out.names).select("row", "col", "label", "name")
 
 
 @query('select "row", "col", case when label = 2 and "A" > 0.6 and "B" < 0.5 then 3 else label end as label from labels')
@@ -476,13 +477,19 @@ def ratio_feature(spark, sf):
     return cube.df.select("row", "col", F.round(feature("A/(A+B)", ["A", "B", "D"]), 6).alias("ratio"))
 
 
-_REGION = """+work as (select "row" as wr, "col" as wc, label as parent from labels where "row" < 32 and "col" < 32),
+_REGION = """+work as (select "row" // 2 as wr, "col" // 2 as wc, max(label) as parent from labels group by 1, 2),
   region as (select l."row", l."col", l."row" // 2 as wr, l."col" // 2 as wc, parent, l.label from labels l join work on l."row" // 2 = wr and l."col" // 2 = wc where parent in (0, 2))"""
 
 
+def _coarse(labels):
+    """Working labels at half the resolution of the raster, over all of it."""
+    half = [F.floor(F.col(c) / 2).cast("int").alias(c) for c in ("row", "col")]
+    return labels.groupBy(*half).agg(F.max("label").alias("label"), F.max("prob").alias("prob"))
+
+
 def _region(spark, sf):
     labels, _ = labels_of(spark, sf)
-    return split.hires_region(labels.filter("row < 32 and col < 32"), labels.select("row", "col", "label"), [0, 2], 2)
+    return split.hires_region(_coarse(labels), labels.select("row", "col", "label"), [0, 2], 2)
 
 
 @query(_REGION + ' select "row", "col", wr, wc, parent, label from region')
@@ -525,10 +532,19 @@ def phase_discovery_curve(spark, sf):
     return summary.discovery_curve(n.select(F.when(F.col("n_nationkey") % 7 == 6, -1).otherwise(F.col("n_nationkey") % 7).alias("discovered_in_tile")))
 
 
-@query("select c.n_name as entry, p.r_name as upstream from nation c join region p on c.n_regionkey = p.r_regionkey")
+def _lineage_sql() -> str:
+    edges = ", ".join(sorted({f"('{b}', '{a}')" for a, _, b, _ in builtin("tiled-rare").edges}))
+    return f"""with recursive edge(node, up) as (values {edges}), walk(node, distance) as (
+      select 'knn', 0 union select up, distance + 1 from walk join edge using (node))
+      select node, min(distance) as distance from walk group by 1"""
+
+
+@query()
 def lineage_upstream(spark, sf):
-    n, r = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("entry"), F.col("r_name").alias("upstream"))
+    return spark.createDataFrame(list(lineage(builtin("tiled-rare"), "knn").items()), "node string, distance int")
+
+
+_SQL["lineage_upstream"] = _lineage_sql()
 
 
 # --- models: no SQL form; held against the planted phases in the tests ---------------------
@@ -576,7 +592,7 @@ def gmm_split(spark, sf):
 @query()
 def hires_gmm(spark, sf):
     labels, cube = labels_of(spark, sf)
-    return split.split_hires(labels.filter("row < 32 and col < 32"), cube, [0, 2], "A/(A+B)", 2)[0]
+    return split.split_hires(_coarse(labels), cube, [0, 2], "A/(A+B)", 2)[0]
 
 
 @query()

@@ -28,18 +28,23 @@ def int_list(text: str, param: str = "list") -> list[int]:
 
 
 def names(text: str, param: str = "names") -> dict[int, str]:
-    """``0=olivine;3=glass`` as a map; a label given twice is an error."""
+    """``0: olivine; 3: glass`` as a map (``=`` in place of the first colon also parts); a label given twice is an error."""
     out: dict[int, str] = {}
     for part in filter(None, (p.strip() for p in (text or "").split(";"))):
-        label, eq, name = part.partition("=")
-        if not eq or not name.strip() or not re.fullmatch(r"-?\d+", label.strip()):
-            raise ParamError(f"{param}: {part!r} is not label=name")
+        label, _, name = re.sub(r"^(\s*-?\d+\s*)=", r"\1:", part).partition(":")
+        if not name.strip() or not re.fullmatch(r"[+-]?\d+", label.strip()):
+            raise ParamError(f"{param}: {part!r} is not 'label: name'")
         if int(label) in out:
             raise ParamError(f"{param}: label {int(label)} is named twice")
         out[int(label)] = name.strip()
     return out
 
 
+def name_list(text: str | None) -> list[str]:
+    """Names parted by semicolons."""
+    return [n.strip() for n in (text or "").split(";") if n.strip()]
+
+
 def rule(text: str, param: str = "rule") -> list[tuple[str, str, float]]:
     """A conjunction of ``channel op number`` joined by ``&``."""
     out = []

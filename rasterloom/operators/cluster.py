@@ -46,10 +46,23 @@ def hdbscan_global(features: DataFrame, min_cluster_size: int = 1000, min_sample
 
 def tile_grid(pixels: DataFrame, tile_size: int, min_tile_pixels: int) -> DataFrame:
     """(tile_id, tr, tc, n_pixels): tiles with enough pixels, numbered in row-major order."""
-    tiles = pixels.groupBy(F.floor(F.col("row") / tile_size).cast("int").alias("tr"), F.floor(F.col("col") / tile_size).cast("int").alias("tc")).agg(F.count("*").alias("n_pixels")).filter(F.col("n_pixels") >= min_tile_pixels)
+    at = [F.floor(F.col(c) / tile_size).cast("int").alias(n) for c, n in (("row", "tr"), ("col", "tc"))]
+    tiles = pixels.groupBy(*at).agg(F.count("*").alias("n_pixels"))
+    if min_tile_pixels < 1:  # empty tiles count as well, so that numbers do not shift
+        rows, cols = tiles.agg(F.coalesce(F.max("tr") + 1, F.lit(0)), F.coalesce(F.max("tc") + 1, F.lit(0))).first()
+        grid = pixels.sparkSession.range(rows * cols).select(F.floor(F.col("id") / max(cols, 1)).cast("int").alias("tr"), (F.col("id") % max(cols, 1)).cast("int").alias("tc"))
+        tiles = grid.join(tiles, ["tr", "tc"], "left").fillna(0, ["n_pixels"])
+    tiles = tiles.filter(F.col("n_pixels") >= min_tile_pixels)
     return tiles.withColumn("tile_id", (F.row_number().over(W.orderBy("tr", "tc")) - 1).cast("int"))  # a row a tile
 
 
+def deferred_pixels(labels: DataFrame, tile_size: int, least: int) -> DataFrame:
+    """Pixels of the tiles that hold fewer than ``least`` clusters; a later pass takes them up."""
+    keyed = labels.withColumns({"tr": F.floor(F.col("row") / tile_size), "tc": F.floor(F.col("col") / tile_size)})
+    poor = keyed.groupBy("tr", "tc").agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n")).filter(F.col("n") < least)
+    return keyed.join(poor.select("tr", "tc"), ["tr", "tc"], "left_semi").drop("tr", "tc")
+
+
 def fingerprint_means(labels: DataFrame, cube: Cube, keys: list[str]) -> DataFrame:
     """Mean of every channel by ``keys`` over assigned pixels, and their number."""
     joined = labels.filter("label >= 0").join(cube.df, ["row", "col"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +35,15 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.95) -> DataFrame:
     p = prints.select("label", "element", "mean")
     both = p.alias("x").join(p.alias("y"), "element").filter("x.label < y.label")
     dots = both.groupBy(F.col("x.label").alias("a"), F.col("y.label").alias("b")).agg(F.sum(F.col("x.mean") * F.col("y.mean")).alias("d"), F.sqrt(F.sum(F.col("x.mean") * F.col("x.mean")) * F.sum(F.col("y.mean") * F.col("y.mean"))).alias("n"))
-    return dots.filter("n > 0").select("a", "b", (F.col("d") / F.col("n")).alias("similarity")).filter(F.col("similarity") > threshold)
+    return dots.filter("n > 0").select("a", "b", (F.col("d") / F.col("n")).alias("similarity")).filter(F.col("similarity") > threshold).orderBy(F.desc("similarity"), "a", "b")
+
+
+def top_variance(cube: Cube, mask: DataFrame, k: int = 3) -> DataFrame:
+    """(place, channel, variance): the channels of largest variance over mineral pixels, ties by name."""
+    inside = cube.df.join(mask.filter("mineral").select("row", "col"), ["row", "col"], "left_semi")
+    row = inside.agg(*(F.var_pop(cell(c)).alias(f"v{i}") for i, c in enumerate(cube.channels)))
+    long = row.selectExpr("stack({}, {}) as (channel, variance)".format(len(cube.channels), ", ".join(f"'{c}', v{i}" for i, c in enumerate(cube.channels))))
+    return long.withColumn("place", F.row_number().over(W.orderBy(F.desc("variance"), "channel"))).filter(F.col("place") <= k).select("place", "channel", "variance")  # a row a channel
 
 
 def top_elements(prints: DataFrame, k: int = 3) -> DataFrame:
@@ -84,7 +90,3 @@ def zoom(pixels: DataFrame, mask: DataFrame, height: int = 300, width: int = 400
     r, c = mask.filter("mineral").agg(F.percentile("row", 0.5), F.percentile("col", 0.5)).first()
     r0, c0 = max(0, int(r or 0) - height // 2), max(0, int(c or 0) - width // 2)
     return pixels.filter(F.col("row").between(r0, r0 + height - 1) & F.col("col").between(c0, c0 + width - 1))
-
-
-def channel_pairs(cube: Cube) -> list[tuple[str, str]]:
-    return list(combinations(cube.channels, 2))

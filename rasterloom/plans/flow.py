@@ -15,7 +15,8 @@ from ..errors import FlowError, ParamError
 from ..operators.pixels import Cube
 from .stages import REGISTRY, Features, Labels
 
-VERSION = 1
+VERSION = 2  # 1 may leave parameters out
+ALIASES = {"export_h5": "export"}
 
 
 @dataclass
@@ -30,15 +31,27 @@ class Graph:
     nodes: list[Node]
     edges: list[tuple[str, str, str, str]]  # from node, port, to node, port
     version: int = VERSION
+    name: str = ""
 
     @classmethod
     def read(cls, text: str) -> Graph:
-        raw = json.loads(text)
-        edges = [(*e["from"].split("."), *e["to"].split(".")) for e in raw.get("edges", [])]
-        return cls([Node(n["id"], n["type"], dict(n.get("params", {}))) for n in raw["nodes"]], edges, raw.get("version", 1))
+        """A flow from JSON; an end of an edge is ``{"node", "port"}`` or ``"node.port"``. A text without version is of version 1."""
+
+        def end(x) -> tuple[str, str]:
+            node, port = (x["node"], x["port"]) if isinstance(x, dict) else x.split(".")
+            return node, port
+
+        try:
+            raw = json.loads(text)
+            edges = [(*end(e["from"]), *end(e["to"])) for e in raw.get("edges", [])]
+            nodes = [Node(n["id"], ALIASES.get(n["type"], n["type"]), dict(n.get("params", {}))) for n in raw["nodes"]]
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise FlowError(f"not a flow: {e!r}") from e
+        return cls(nodes, edges, raw.get("version", 1), raw.get("name", ""))
 
     def text(self) -> str:
-        return json.dumps({"version": self.version, "nodes": [vars(n) for n in self.nodes], "edges": [{"from": f"{a}.{p}", "to": f"{b}.{q}"} for a, p, b, q in self.edges]}, indent=1)
+        edges = [{"id": f"e{i}", "from": {"node": a, "port": p}, "to": {"node": b, "port": q}} for i, (a, p, b, q) in enumerate(self.edges, 1)]
+        return json.dumps({"version": self.version, "name": self.name, "nodes": [vars(n) for n in self.nodes], "edges": edges}, indent=1)
 
     def into(self, node: str) -> dict[str, tuple[str, str]]:
         return {q: (a, p) for a, p, b, q in self.edges if b == node}
@@ -68,8 +81,8 @@ def order(graph: Graph) -> list[str]:
 def validate(graph: Graph) -> list[Issue]:
     found: list[Issue] = []
     err = lambda where, text: found.append(Issue("error", where, text))
-    if graph.version != VERSION:
-        err("flow", f"version {graph.version} is not {VERSION}")
+    if graph.version not in (1, VERSION):
+        err("flow", f"version {graph.version} is neither 1 nor {VERSION}")
     seen: dict[str, Node] = {}
     for n in graph.nodes:
         if n.id in seen:
@@ -80,7 +93,7 @@ def validate(graph: Graph) -> list[Issue]:
             continue
         s = REGISTRY[n.type]
         for k in s.params:
-            if k not in n.params:
+            if k not in n.params and graph.version > 1:
                 err(n.id, f"parameter {k!r} is missing")
         try:
             s.check(s.coerced(n.params))
@@ -116,7 +129,19 @@ def validate(graph: Graph) -> list[Issue]:
 
 def complete(graph: Graph) -> Graph:
     """Every parameter written out, in canonical types."""
-    return Graph([Node(n.id, n.type, REGISTRY[n.type].coerced(n.params)) for n in graph.nodes], list(graph.edges), graph.version)
+    return Graph([Node(n.id, n.type, REGISTRY[n.type].coerced(n.params)) for n in graph.nodes], list(graph.edges), VERSION, graph.name)
+
+
+def lineage(graph: Graph, at: str) -> dict[str, int]:
+    """The nodes that ``at`` is computed from, and itself, with the least number of edges between."""
+    found, ready = {at: 0}, deque([at])
+    while ready:
+        n = ready.popleft()
+        for up, _ in graph.into(n).values():
+            if up not in found:
+                found[up] = found[n] + 1
+                ready.append(up)
+    return found
 
 
 def override(graph: Graph, settings: list[str]) -> Graph:
@@ -131,7 +156,7 @@ def override(graph: Graph, settings: list[str]) -> Graph:
             nodes[node].params[param] = json.loads(value)
         except ValueError:
             nodes[node].params[param] = value
-    return Graph(list(nodes.values()), list(graph.edges), graph.version)
+    return Graph(list(nodes.values()), list(graph.edges), graph.version, graph.name)
 
 
 def recipes(graph: Graph, sources: dict[str, str] | None = None) -> dict[str, str]:
@@ -222,7 +247,7 @@ def schema() -> dict:
         return {**out, **({"enum": list(p.choices)} if p.choices else {}), **({"minimum": p.least} if p.least is not None else {}), **({"maximum": p.most} if p.most is not None else {})}
 
     variants = [{"type": "object", "required": ["id", "type", "params"], "properties": {"id": {"type": "string"}, "type": {"const": s.name}, "params": {"type": "object", "additionalProperties": False, "required": sorted(s.params), "properties": {k: one(p) for k, p in s.params.items()}}}} for s in REGISTRY.values()]
-    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "required": ["nodes"], "properties": {"version": {"const": VERSION}, "nodes": {"type": "array", "items": {"oneOf": variants}}, "edges": {"type": "array"}}}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "required": ["nodes"], "properties": {"version": {"enum": [1, VERSION]}, "name": {"type": "string"}, "nodes": {"type": "array", "items": {"oneOf": variants}}, "edges": {"type": "array"}}}
 
 
 def builtin(name: str) -> Graph:
@@ -243,7 +268,7 @@ def builtin(name: str) -> Graph:
     for w in wires:
         to, _, frm = w.partition("<")
         edges.append((*frm.split("."), *to.split(".")))
-    return Graph([Node(k, v, REGISTRY[v].template()) for k, v in kinds.items()], edges)
+    return Graph([Node(k, v, REGISTRY[v].template()) for k, v in kinds.items()], edges, VERSION, name)
 
 
 def run_catalogue_flow(spark: SparkSession, cube: Cube, tiled: bool) -> DataFrame:

@@ -126,13 +126,19 @@ def stage(name, inputs, outputs, check=None, source=False, **params):
     return add
 
 
+#: Only the processor is used; other devices are refused.
+DEVICE = Param("enum", "cpu", ("cpu",))
+#: Sums in single precision depend on the order of pixels; only ``normalize`` offers them.
+DOUBLE = Param("enum", "float64", ("float64",))
+
+
 def num(kind, template, least=None, most=None):
     return Param(kind, template, (), least, most)
 
 
 @stage("load_elements", {}, {"cube": "cube:raw", "bse": "bse"}, source=True, input_dir=Param("str", "{input}"), file_glob=Param("str", "*.png"), filename_pattern=Param("str", None), bse_filename=Param("str", None), colormap=Param("str", "lut:palette.npy"), exclude_elements=Param("str", "Fe-L"), include_elements=Param("str", None), bse_channel=Param("str", "SEM"), header_trim_px=num("int", 0, 0), bottom_trim_px=num("int", 0, 0), left_trim_px=num("int", 0, 0), right_trim_px=num("int", 0, 0), downsample_factor=num("int", 2, 1))
 def _load(spark, x, p):
-    cube, bse = images.load_elements(spark, p["input_dir"], images.read_palette(spark, p["colormap"]), p["file_glob"], p["filename_pattern"], p["bse_channel"], tuple(grammar.csv_list(p["exclude_elements"])), tuple(grammar.csv_list(p["include_elements"])), p["downsample_factor"], p["header_trim_px"], p["bottom_trim_px"], p["left_trim_px"], p["right_trim_px"])
+    cube, bse = images.load_elements(spark, p["input_dir"], images.read_palette(spark, p["colormap"]), p["file_glob"], p["filename_pattern"], p["bse_channel"], tuple(grammar.csv_list(p["exclude_elements"])), tuple(grammar.csv_list(p["include_elements"])), p["downsample_factor"], p["header_trim_px"], p["bottom_trim_px"], p["left_trim_px"], p["right_trim_px"], bse_filename=p["bse_filename"])
     return {"cube": cube, "bse": bse}
 
 
@@ -145,7 +151,7 @@ def _mask(spark, x, p):
     return {"masks": masks.remove_small(pixels.mineral_mask(cube, valid), p["min_object_size"])}
 
 
-@stage("denoise", {"cube": "cube:raw", "masks": "masks", "bse": "bse?"}, {"cube": "cube:denoised"}, method=Param("enum", "bilateral", ("bilateral", "bilateral_sym", "joint_bilateral_total", "joint_bilateral_bse", "anisotropic_diffusion")), sigma_color=num("float", None, 0.0), sigma_spatial=num("float", 1.0, 0.0), niter=num("int", 10, 1), kappa=num("float", 50.0, 0.0), gamma=num("float", 0.1, 0.0, 0.25), option=Param("enum", 2, (1, 2)))
+@stage("denoise", {"cube": "cube:raw", "masks": "masks", "bse": "bse?"}, {"cube": "cube:denoised"}, method=Param("enum", "bilateral", ("bilateral", "bilateral_sym", "joint_bilateral_total", "joint_bilateral_bse", "anisotropic_diffusion")), sigma_color=num("float", None, 0.0), sigma_spatial=num("float", 1.0, 0.0), niter=num("int", 10, 1), kappa=num("float", 50.0, 0.0), gamma=num("float", 0.1, 0.0, 0.25), option=Param("enum", 2, (1, 2)), device=DEVICE)
 def _denoise(spark, x, p):
     cube, mask, method = x["cube"], x["masks"], p["method"]
     if method == "anisotropic_diffusion":
@@ -158,7 +164,7 @@ def _denoise(spark, x, p):
     return {"cube": stencil.bilateral(cube, mask, p["sigma_spatial"], p["sigma_color"], guide, method == "bilateral")}
 
 
-@stage("normalize", {"cube": "cube:denoised", "masks": "masks"}, {"cube": "cube:normalized"}, method=Param("enum", "zscore", ("zscore",)), accumulate=Param("enum", "float64", ("float64", "float32")))
+@stage("normalize", {"cube": "cube:denoised", "masks": "masks"}, {"cube": "cube:normalized"}, method=Param("enum", "zscore", ("zscore",)), accumulate=Param("enum", "float64", ("float64", "float32")), device=DEVICE)
 def _normalize(spark, x, p):
     stats = None
     if p["accumulate"] == "float32":
@@ -168,7 +174,7 @@ def _normalize(spark, x, p):
     return {"cube": pixels.zscore(x["cube"], x["masks"], stats)}
 
 
-@stage("pca", {"cube": "cube:normalized", "masks": "masks"}, {"features": "features"}, n_components=num("int", 0, 0), variance_threshold=num("float", 0.95, 0.0, 1.0), min_components=num("int", 5, 1), subsample_fraction=num("float", 0.0, 0.0, 1.0), random_state=num("int", 42))
+@stage("pca", {"cube": "cube:normalized", "masks": "masks"}, {"features": "features"}, n_components=num("int", 0, 0), variance_threshold=num("float", 0.95, 0.0, 1.0), min_components=num("int", 5, 1), subsample_fraction=num("float", 0.0, 0.0, 1.0), random_state=num("int", 42), device=DEVICE)
 def _pca(spark, x, p):
     if p["n_components"] > len(x["cube"].channels):
         raise FlowError(f"pca: {p['n_components']} components of {len(x['cube'].channels)} channels")
@@ -176,27 +182,31 @@ def _pca(spark, x, p):
     return {"features": Features(df, explained)}
 
 
-_CLUSTER = dict(min_cluster_size=num("int", 1000, 1), min_samples=num("int", 0, 0), subsample_n=num("int", 0, 0), random_state=num("int", 42))
+def _plain(p: dict) -> dict:
+    return {k: v for k, v in p.items() if k not in ("device", "accumulate")}
+
+
+_CLUSTER = dict(min_cluster_size=num("int", 1000, 1), min_samples=num("int", 0, 0), subsample_n=num("int", 0, 0), random_state=num("int", 42), device=DEVICE)
 
 
 @stage("hdbscan_global", {"features": "features"}, {"labels": "labels:raw"}, **_CLUSTER)
 def _global(spark, x, p):
-    return {"labels": Labels(cluster.hdbscan_global(x["features"].df, **p).withColumn("tile_id", F.lit(None).cast("int")), "raw")}
+    return {"labels": Labels(cluster.hdbscan_global(x["features"].df, **_plain(p)).withColumn("tile_id", F.lit(None).cast("int")), "raw")}
 
 
-@stage("hdbscan_tiled", {"features": "features", "cube": "cube:denoised"}, {"labels": "labels:raw", "tiles": "tiles"}, **_CLUSTER, tile_size=num("int", 512, 1), merge_threshold=num("float", 0.92, 0.0, 1.0), min_tile_pixels=num("int", 0, 0), min_clusters_per_tile=num("int", 3, 0))
+@stage("hdbscan_tiled", {"features": "features", "cube": "cube:denoised"}, {"labels": "labels:raw", "tiles": "tiles"}, **_CLUSTER, tile_size=num("int", 512, 1), merge_threshold=num("float", 0.92, 0.0, 1.0), min_tile_pixels=num("int", 0, 0), min_clusters_per_tile=num("int", 3, 0), accumulate=DOUBLE)
 def _tiled(spark, x, p):
-    labels, tiles, registry = cluster.hdbscan_tiled(x["features"].df, x["cube"], **p)
+    labels, tiles, registry = cluster.hdbscan_tiled(x["features"].df, x["cube"], **_plain(p))
     return {"labels": Labels(labels, "raw"), "tiles": Tiles(tiles, registry)}
 
 
-@stage("rare_phase", {"labels": "labels:raw", "features": "features", "cube": "cube:denoised", "tiles": "tiles"}, {"labels": "labels:raw", "tiles": "tiles"}, min_cluster_size=num("int", 50, 1), min_samples=num("int", 0, 0), subsample_n=num("int", 500_000, 0), merge_threshold=num("float", 0.92, 0.5, 1.0), random_state=num("int", 42))
+@stage("rare_phase", {"labels": "labels:raw", "features": "features", "cube": "cube:denoised", "tiles": "tiles"}, {"labels": "labels:raw", "tiles": "tiles"}, min_cluster_size=num("int", 50, 1), min_samples=num("int", 0, 0), subsample_n=num("int", 500_000, 0), merge_threshold=num("float", 0.92, 0.5, 1.0), random_state=num("int", 42), device=DEVICE, accumulate=DOUBLE)
 def _rare(spark, x, p):
-    labels, registry = cluster.rare_phase(x["labels"].df, x["features"].df, x["cube"], x["tiles"].tiles, x["tiles"].registry, **p)
+    labels, registry = cluster.rare_phase(x["labels"].df, x["features"].df, x["cube"], x["tiles"].tiles, x["tiles"].registry, **_plain(p))
     return {"labels": Labels(labels, "raw"), "tiles": Tiles(x["tiles"].tiles, registry)}
 
 
-@stage("noise_assign", {"labels": "labels:raw", "features": "features"}, {"labels": "labels:cleaned"}, k=num("int", 5, 1))
+@stage("noise_assign", {"labels": "labels:raw", "features": "features"}, {"labels": "labels:cleaned"}, k=num("int", 5, 1), device=DEVICE)
 def _noise(spark, x, p):
     return {"labels": Labels(cluster.noise_assign(x["labels"].df, x["features"].df, p["k"]), "cleaned", x["labels"].names, x["labels"].history)}
 
@@ -206,14 +216,22 @@ def _stats(spark, x, p):
     return {"stats": summary.cluster_stats(x["labels"].df)}
 
 
-@stage("fingerprints", {"labels": "labels:cleaned", "cube": "cube:denoised"}, {"fingerprints": "fingerprints"}, similarity_threshold=num("float", 0.95, 0.0, 1.0))
+@stage("fingerprints", {"labels": "labels:cleaned", "cube": "cube:denoised"}, {"fingerprints": "fingerprints"}, similarity_threshold=num("float", 0.95, 0.0, 1.0), accumulate=DOUBLE)
 def _prints(spark, x, p):
     prints = summary.fingerprints(x["labels"].df, x["cube"])
     return {"fingerprints": {"prints": prints, "pairs": summary.similar_pairs(prints, p["similarity_threshold"]), "order": summary.element_order(prints)}}
 
 
-def _moved(labels: Labels, df, names: dict, **record) -> dict:
-    return {"labels": Labels(df, "cleaned", {**labels.names, **names}, (*labels.history, record))}
+def _moved(labels: Labels, df, names: dict, gone=(), **record) -> dict:
+    """Labels after a step: new names added, those of emptied phases dropped, the step recorded."""
+    record = {**record, "new_names": {str(k): v for k, v in names.items()}} if record["stage"] != "name_phases" else {**record, "names": {str(k): v for k, v in names.items()}}
+    return {"labels": Labels(df, "cleaned", {k: v for k, v in {**labels.names, **names}.items() if k not in set(gone)}, (*labels.history, record))}
+
+
+def _emptied(df, parents) -> list[int]:
+    """Those of ``parents`` that no pixel has any more."""
+    there = {r.label for r in df.filter(F.col("label").isin(list(parents))).select("label").distinct().collect()}
+    return [p for p in parents if p not in there]
 
 
 def _check_names(p):
@@ -239,11 +257,11 @@ def _check_threshold(p):
 @stage("split_threshold", {"labels": "labels:cleaned", "cube": "cube:denoised"}, {"labels": "labels:cleaned"}, _check_threshold, target_phase=num("int", 0, 0), rule=Param("str", ""), new_name=Param("str", ""), note=Param("str", ""))
 def _threshold(spark, x, p):
     df, new = split.split_threshold(x["labels"].df, x["cube"], p["target_phase"], p["rule"])
-    return _moved(x["labels"], df, {new: p["new_name"]} if new >= 0 else {}, stage="split_threshold", parent=p["target_phase"], new_labels=[new] if new >= 0 else [], note=p["note"])
+    return _moved(x["labels"], df, {new: p["new_name"]} if new >= 0 else {}, _emptied(df, [p["target_phase"]]) if new >= 0 else [], stage="split_threshold", parent=p["target_phase"], new_labels=[new] if new >= 0 else [], note=p["note"])
 
 
 def _check_gmm(p):
-    tokens, given = grammar.csv_list(p["features"]), [n for n in p["new_names"].split(";") if n.strip()]
+    tokens, given = grammar.csv_list(p["features"]), grammar.name_list(p["new_names"])
     if not tokens:
         raise ParamError("split_gmm.features: at least one is needed")
     if p["order_by"] and p["order_by"] not in tokens:
@@ -256,8 +274,8 @@ def _check_gmm(p):
 def _gmm(spark, x, p):
     cube = x["cube"] if "bse" not in x else Cube(x["cube"].df.join(x["bse"].withColumnRenamed("bse", "BSE"), ["row", "col"]), x["cube"].channels, "denoised")
     df, record = split.split_gmm(x["labels"].df, cube, p["target_phase"], grammar.csv_list(p["features"]), p["n_components"], p["bse_weight"], p["subsample_n"], p["random_state"], p["keep_parent"], p["order_by"])
-    given = [n.strip() for n in p["new_names"].split(";") if n.strip()]
-    return _moved(x["labels"], df, dict(zip(record["new_labels"], given)), stage="split_gmm", parent=p["target_phase"], note=p["note"], **record)
+    gone = [] if p["keep_parent"] or not record["new_labels"] else [p["target_phase"]]
+    return _moved(x["labels"], df, dict(zip(record["new_labels"], grammar.name_list(p["new_names"]))), gone, stage="split_gmm", parent=p["target_phase"], note=p["note"], **record)
 
 
 def _check_hires(p):
@@ -266,14 +284,19 @@ def _check_hires(p):
         raise ParamError("split_hires.target_phases: non-negative labels are needed")
     if p["feature"].strip().upper() == "BSE" or not p["feature"].strip():
         raise ParamError("split_hires.feature: a channel or a ratio is needed")
+    given = grammar.name_list(p["new_names"])
+    if given and len(given) != p["n_components"]:
+        raise ParamError(f"split_hires.new_names: {p['n_components']} are needed")
 
 
 @stage("split_hires", {"labels": "labels:cleaned", "cube_hires": "cube:raw"}, {"labels": "labels:cleaned", "labels_hires": "labels_hires"}, _check_hires, target_phases=Param("str", ""), feature=Param("str", ""), n_components=num("int", 2, 2), subsample_n=num("int", 500_000, 0), random_state=num("int", 42), new_names=Param("str", ""), note=Param("str", ""))
 def _hires(spark, x, p):
     size = lambda df: tuple(int(v) + 1 for v in df.agg(F.max("row"), F.max("col")).first())
     ratio = split.resolution_ratio(size(x["labels"].df), size(x["cube_hires"].df))
-    df, fine = split.split_hires(x["labels"].df, x["cube_hires"], grammar.int_list(p["target_phases"]), p["feature"], ratio, p["n_components"], p["subsample_n"], p["random_state"])
-    out = _moved(x["labels"], df, {}, stage="split_hires", parents=p["target_phases"], ratio=ratio, note=p["note"])
+    targets, first = grammar.int_list(p["target_phases"]), split.next_label(x["labels"].df)
+    df, fine = split.split_hires(x["labels"].df, x["cube_hires"], targets, p["feature"], ratio, p["n_components"], p["subsample_n"], p["random_state"])
+    new = list(range(first, first + p["n_components"]))
+    out = _moved(x["labels"], df, dict(zip(new, grammar.name_list(p["new_names"]))), _emptied(df, targets), stage="split_hires", parents=targets, new_labels=new, ratio=ratio, note=p["note"])
     return {**out, "labels_hires": fine}
 
 
@@ -285,6 +308,21 @@ def _export(spark, x, p):
     return {}
 
 
+def named(df, names: dict[int, str]):
+    """``df`` with the name of each label, null where there is none."""
+    table = df.sparkSession.createDataFrame([(int(k), v) for k, v in names.items()], "label int, name string")
+    return df.join(F.broadcast(table), "label", "left")  # a row a phase
+
+
+def _named(df, given: str | None, other: dict[int, str] | None = None):
+    """As ``named``, of a JSON map of labels to names, or of ``other`` where that is empty."""
+    try:
+        names = {int(k): str(v) for k, v in json.loads(given or "{}").items()}
+    except (ValueError, AttributeError):
+        raise ParamError(f"mineral_names: {given!r} is not a JSON map of labels to names") from None
+    return named(df, names or other or {})
+
+
 def _figure(name, inputs, build, **params):
     @stage(name, inputs, {}, figure_dir=Param("str", "{out}/figures"), **params)
     def sink(spark, x, p):
@@ -299,6 +337,6 @@ _figure("qc_normalize", {"cube": "cube:normalized", "masks": "masks"}, lambda x,
 _figure("qc_scree", {"features": "features"}, lambda x, p: {"scree": pixels.cumulative(x["features"].df.sparkSession.createDataFrame(list(enumerate(x["features"].explained)), "component int, share double"))})
 _figure("qc_phase_map", {"labels_raw": "labels:raw", "labels": "labels:cleaned", "bse": "bse", "stats": "stats"}, lambda x, p: {"raw": x["labels_raw"].df.select("row", "col", "label"), "cleaned": x["labels"].df.select("row", "col", "label")})
 _figure("qc_cluster_summary", {"stats": "stats"}, lambda x, p: {"sizes": x["stats"].orderBy(F.desc("n_pixels"), "label")})
-_figure("qc_tiled", {"bse": "bse", "tiles": "tiles", "features": "features"}, lambda x, p: {"tiles": x["bse"].sparkSession.createDataFrame([(t["tile_id"], t["n_pixels"], t["n_clusters"], t["deferred"]) for t in x["tiles"].tiles], "tile_id int, n_pixels long, n_clusters long, deferred boolean"), "curve": summary.discovery_curve(x["bse"].sparkSession.createDataFrame([(r["discovered_in_tile"],) for r in x["tiles"].registry], "discovered_in_tile int"))}, min_tile_pixels=num("int", 2000, 1))
-_figure("qc_fingerprints", {"fingerprints": "fingerprints"}, lambda x, p: {"prints": x["fingerprints"]["prints"], "order": x["fingerprints"]["order"]}, mineral_names=Param("str", None))
-_figure("qc_named_phase_map", {"labels": "labels:cleaned", "bse": "bse"}, lambda x, p: {"map": x["labels"].df.select("row", "col", "label")}, mineral_names=Param("str", "{}"))
+_figure("qc_tiled", {"bse": "bse", "tiles": "tiles", "features": "features"}, lambda x, p: {"tiles": x["bse"].sparkSession.createDataFrame([(t["tile_id"], t["n_pixels"], t["n_clusters"], t["deferred"]) for t in x["tiles"].tiles if t["n_pixels"] >= p["min_tile_pixels"]], "tile_id int, n_pixels long, n_clusters long, deferred boolean"), "curve": summary.discovery_curve(x["bse"].sparkSession.createDataFrame([(r["discovered_in_tile"],) for r in x["tiles"].registry], "discovered_in_tile int"))}, min_tile_pixels=num("int", 2000, 1))
+_figure("qc_fingerprints", {"fingerprints": "fingerprints"}, lambda x, p: {"prints": _named(x["fingerprints"]["prints"], p["mineral_names"]), "order": x["fingerprints"]["order"]}, mineral_names=Param("str", None))
+_figure("qc_named_phase_map", {"labels": "labels:cleaned", "bse": "bse"}, lambda x, p: {"map": _named(x["labels"].df.select("row", "col", "label"), p["mineral_names"], x["labels"].names)}, mineral_names=Param("str", "{}"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +23,11 @@ def name_pattern(template: str) -> str:
     return "^" + "".join("(?P<element>.+)" if p == "{element}" else ".+?" if re.fullmatch(r"\{\w+\}", p) else re.escape(p) for p in parts) + "$"
 
 
+def file_name(path: Column) -> Column:
+    """The last part of a path or URI; sources differ in how they write the rest."""
+    return F.regexp_extract(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1)
+
+
 def legacy_element(stem: Column) -> Column:
     """The third and later parts of a stem cut at hyphens; null where there are fewer than three."""
     parts = F.split(stem, "-")
@@ -36,12 +40,13 @@ def pattern_element(name: Column, template: str) -> Column:
     return F.when(found != "", found)
 
 
-def read_images(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
-    """(origin, row, col, r, g, b) of all images; a gray image has equal r, g and b.
+def read_images(spark: SparkSession, folder: str | list[str], glob: str = "*.png") -> DataFrame:
+    """(origin, row, col, r, g, b) of all images of a folder, or of a list of files; a gray image has equal r, g and b.
 
     An image is one binary row at first; it is opened strip by strip in Arrow batches.
     """
-    raw = spark.read.format("image").option("pathGlobFilter", glob).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    reader = spark.read.format("image")
+    raw = (reader.option("pathGlobFilter", glob) if isinstance(folder, str) else reader).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches):
         for pdf in batches:
@@ -108,26 +113,36 @@ def trim(pixels: DataFrame, height: int, width: int, factor: int = 1, header: in
     return kept.withColumn("row", (F.col("row") - t).cast("int")).withColumn("col", (F.col("col") - l).cast("int"))
 
 
-def load_elements(spark: SparkSession, folder: str, palette: DataFrame, glob: str = "*.png", pattern: str | None = None, bse_channel: str = "SEM", exclude: tuple[str, ...] = ("Fe-L",), include: tuple[str, ...] = (), factor: int = 2, header: int = 0, bottom: int = 0, left: int = 0, right: int = 0) -> tuple[Cube, DataFrame]:
-    """(cube, bse) of a folder of false-colour maps and one gray electron image."""
+def load_elements(spark: SparkSession, folder: str, palette: DataFrame, glob: str = "*.png", pattern: str | None = None, bse_channel: str = "SEM", exclude: tuple[str, ...] = ("Fe-L",), include: tuple[str, ...] = (), factor: int = 2, header: int = 0, bottom: int = 0, left: int = 0, right: int = 0, bse_filename: str | None = None) -> tuple[Cube, DataFrame]:
+    """(cube, bse) of a folder of false-colour maps and one gray electron image.
+
+    Only the wanted files are decoded; the size is that of the source rows. With
+    ``bse_filename`` that file of the folder is the electron image, whatever the glob, and is never an
+    element map. The cube's geometry says how original pixels map to its own.
+    """
     names = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path")
-    stem = F.regexp_extract(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1)
+    stem = file_name(F.col("path"))
     bare = F.regexp_replace(stem, r"\.[^.]*$", "")
     element = pattern_element(stem, pattern) if pattern else legacy_element(bare)
-    files = names.select("path", element.alias("element")).filter("element is not null").orderBy("path").collect()
+    files = names.select(stem.alias("path"), element.alias("element")).filter("element is not null").orderBy("path").collect()
     skip = {*exclude, "Phases", bse_channel}
-    wanted = {r.path: r.element for r in files if r.element not in skip and (not include or r.element in include)}
-    electron = [r.path for r in files if r.element == bse_channel]
+    own = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", bse_filename).load(folder).select(file_name(F.col("path")).alias("path")).collect()] if bse_filename else []
+    wanted = {r.path: r.element for r in files if r.element not in skip and (not include or r.element in include) and r.path not in own}
+    electron = own if bse_filename else [r.path for r in files if r.element == bse_channel]
     if not wanted or not electron:
-        raise FlowError(f"{folder}: " + ("no element map matches" if not wanted else f"no {bse_channel} image"))
+        raise FlowError(f"{folder}: " + ("no element map matches" if not wanted else f"no {bse_filename or bse_channel} image"))
+    at = lambda names: [f"{folder.rstrip('/')}/{n}" for n in names]
+    sizes = {(r.height, r.width) for r in spark.read.format("image").load(at([*wanted, electron[0]])).select("image.height", "image.width").collect()}  # a row a file
+    if len(sizes) > 1:
+        raise FlowError(f"{folder}: images differ in size: {sorted(sizes)}")
+    height, width = sizes.pop()
     maps = spark.createDataFrame(list(wanted.items()), "origin string, channel string")
-    pixels = read_images(spark, folder, glob)
-    sized = pixels.groupBy("origin").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).first()
-    h, w = -(-sized.h // factor), -(-sized.w // factor)
-    values = invert(pixels.join(F.broadcast(maps), "origin").drop("origin"), palette)
+    h, w = -(-height // factor), -(-width // factor)
+    values = invert(read_images(spark, at(wanted)).withColumn("origin", file_name(F.col("origin"))).join(F.broadcast(maps), "origin").drop("origin"), palette)
     cut = dict(height=h, width=w, factor=factor, header=header, bottom=bottom, left=left, right=right)
     cube = stack(trim(downsample(values, factor, ("channel",)), **cut), sorted(set(wanted.values())))
-    bse = pixels.filter(F.col("origin") == electron[0]).select("row", "col", luminance().alias("value"))
+    cube = Cube(cube.df, cube.channels, cube.space, {"factor": factor, "header": header, "left": left})
+    bse = read_images(spark, at(electron[:1])).select("row", "col", luminance().alias("value"))
     return cube, trim(downsample(bse, factor), **cut).withColumnRenamed("value", "bse")
 
 
@@ -155,7 +170,3 @@ def read_group(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def read_meta(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/meta").first()[0])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
