@@ -82,34 +82,37 @@ def count_pass(model: Model, flat: np.ndarray, lengths: np.ndarray, longest: int
         lo += len(rows)
         b, n, head = begin[rows], size[rows], place[rows] == 0
         steps = int(n[0])
+        live = np.searchsorted(-n, -np.arange(steps), side="left")  # rows longer than t stand first
         at = b[None, :] + np.arange(steps)[:, None]
         real = np.arange(steps)[:, None] < n[None, :]
         obs = padded[np.where(real, at, len(flat))]
-        alpha, scale = np.empty((steps, len(rows), k), dtype=np.float32), np.empty((steps, len(rows), 1), dtype=np.float32)
+        alpha, scale = np.zeros((steps, len(rows), k), dtype=np.float32), np.ones((steps, len(rows), 1), dtype=np.float32)
         prior = before[rows].astype(np.float32)
-        a = np.where(head[:, None], model.start.astype(np.float32), prior @ move) * emit[obs[0]]
+        a = np.where(head[:, None], model.start.astype(np.float32), prior @ move)
         for t in range(steps):
-            if t:
-                a = np.where(real[t][:, None], (a @ move) * emit[obs[t]], a)
-            scale[t] = np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
-            a = a / scale[t]
-            alpha[t] = a
+            m = live[t]
+            x = (a[:m] @ move if t else a) * emit[obs[t, :m]]
+            np.maximum(x.sum(axis=1, keepdims=True), 1e-30, out=scale[t, :m])
+            np.divide(x, scale[t, :m], out=alpha[t, :m])
+            a[:m] = alpha[t, :m]
         beta = after[rows].astype(np.float32)
         beta /= np.maximum((a * beta).sum(axis=1, keepdims=True), 1e-30)
         xi = np.zeros((k, k), dtype=np.float64)
         for t in range(steps - 1, 0, -1):
-            g = emit[obs[t]] * beta / scale[t] * real[t][:, None]
-            xi += alpha[t - 1].T @ g
-            alpha[t] *= beta
-            beta = np.where(real[t][:, None], g @ move.T, beta)
+            m = live[t]
+            g = emit[obs[t, :m]] * beta[:m]
+            g /= scale[t, :m]
+            xi += alpha[t - 1, :m].T @ g
+            alpha[t, :m] *= beta[:m]
+            np.matmul(g, move.T, out=beta[:m])
         g = emit[obs[0]] * beta / scale[0]
         xi += (prior * ~head[:, None]).T @ g
         alpha[0] *= beta
         moves += xi * model.move
         starts_ += alpha[0][head].sum(axis=0)
-        seen = obs[real]
+        seen, share = obs[real], alpha[real]
         for s in range(k):
-            emits[:, s] += np.bincount(seen, weights=alpha[:, :, s][real], minlength=classes)
+            emits[:, s] += np.bincount(seen, weights=share[:, s], minlength=classes)
     return [starts_, moves, emits]
 
 
@@ -125,21 +128,19 @@ def _context(model: Model, flat: np.ndarray, cuts: np.ndarray, place: np.ndarray
     order = several[np.argsort(-size[several], kind="stable")]
     for lo in range(0, len(order), 512):
         rows = order[lo : lo + 512]
-        n, m3 = size[rows], np.tile(np.eye(k), (len(rows), 1, 1))
+        n, m3, head = size[rows], np.tile(np.eye(k), (len(rows), 1, 1)), place[rows] == 0
         for t in range(int(n[0])):
             m = int(np.searchsorted(-n, -t, side="left"))
-            x = (m3[:m] @ model.move) * model.emit[flat[begin[rows[:m]] + t]][:, None, :]
+            x = m3[:m] @ model.move if t else np.where(head[:, None, None], m3, m3 @ model.move)  # a first stretch begins without a move
+            x = x * model.emit[flat[begin[rows[:m]] + t]][:, None, :]
             m3[:m] = x / x.max(axis=(1, 2), keepdims=True)
         matrix[rows] = m3
     first, last = np.flatnonzero(place == 0), np.flatnonzero(place == cuts[doc] - 1)
     for d in np.flatnonzero(cuts > 1):
-        a = model.start * model.emit[flat[begin[first[d]]]]  # the first stretch begins without a move
-        for t in range(1, int(size[first[d]])):
-            a = (a @ model.move) * model.emit[flat[begin[first[d]] + t]]
-            a /= a.sum()
+        a = model.start @ matrix[first[d]]
         for i in range(first[d] + 1, last[d] + 1):
             before[i] = a = a / a.sum()
-            a = a @ matrix[i]
+            a = a @ matrix[i]  # the last is not needed further
         b = np.ones(k)
         for i in range(last[d] - 1, first[d] - 1, -1):
             b = matrix[i + 1] @ b
