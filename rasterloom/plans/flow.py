@@ -263,7 +263,7 @@ def builtin(name: str) -> Graph:
         kinds |= {"exp": "export", "q_mask": "qc_mask", "q_dn": "qc_denoise", "q_nrm": "qc_normalize", "q_scree": "qc_scree", "q_map": "qc_phase_map", "q_sum": "qc_cluster_summary", "q_fp": "qc_fingerprints", **({"q_tiled": "qc_tiled"} if tiled else {})}
         wires += ["exp.cube_raw<src.cube", "exp.bse<src.bse", "exp.masks<msk.masks", "exp.cube_denoised<dn.cube", "exp.cube_normalized<nrm.cube", "exp.features<pca.features", f"exp.labels_raw<{raw}.labels", "exp.labels<knn.labels", "exp.stats<stats.stats"]
         wires += ["q_mask.bse<src.bse", "q_mask.masks<msk.masks", "q_dn.cube_raw<src.cube", "q_dn.cube_denoised<dn.cube", "q_dn.bse<src.bse", "q_dn.masks<msk.masks", "q_nrm.cube<nrm.cube", "q_nrm.masks<msk.masks", "q_scree.features<pca.features", f"q_map.labels_raw<{raw}.labels", "q_map.labels<knn.labels", "q_map.bse<src.bse", "q_map.stats<stats.stats", "q_sum.stats<stats.stats", "q_fp.fingerprints<fp.fingerprints"]
-        wires += ["q_tiled.bse<src.bse", f"q_tiled.tiles<{raw}.tiles", "q_tiled.features<pca.features"] * tiled
+        wires += [f"exp.tiles<{raw}.tiles", "q_tiled.bse<src.bse", f"q_tiled.tiles<{raw}.tiles", "q_tiled.features<pca.features"] * tiled
     edges = []
     for w in wires:
         to, _, frm = w.partition("<")

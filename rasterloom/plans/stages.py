@@ -300,9 +300,23 @@ def _hires(spark, x, p):
     return {**out, "labels_hires": fine}
 
 
-@stage("export", {"cube_raw": "cube:raw?", "bse": "bse?", "masks": "masks?", "cube_denoised": "cube:denoised?", "cube_normalized": "cube:normalized?", "features": "features?", "labels_raw": "labels:raw?", "labels": "labels:cleaned?", "stats": "stats?", "labels_hires": "labels_hires?"}, {}, path=Param("str", "{out}/export"), flow_json=Param("str", "{flow}"), compression=Param("enum", "zstd", ("zstd", "snappy", "gzip", "none")))
+def _tile_groups(spark, tiles: Tiles) -> dict:
+    """What each tile held, which of its clusters became which phase, and the registry of phases: a row each."""
+    rows = [(t["tile_id"], int(t["n_pixels"]), int(t["n_clusters"]), int(t["n_noise"]), bool(t["deferred"])) for t in tiles.tiles]
+    merged = [(t["tile_id"], int(a), int(b)) for t in tiles.tiles for a, b in t["merge_map"].items()]
+    phases = [(int(e["global_id"]), int(e["n_pixels"]), int(e["discovered_in_tile"]), [float(v) for v in e["mean"]]) for e in tiles.registry]
+    return {
+        "tiles": spark.createDataFrame(rows, "tile_id int, n_pixels long, n_clusters long, n_noise long, deferred boolean"),
+        "tile_clusters": spark.createDataFrame(merged, "tile_id int, cluster int, phase int"),
+        "registry": spark.createDataFrame(phases, "phase int, n_pixels long, discovered_in_tile int, mean array<double>"),
+    }
+
+
+@stage("export", {"cube_raw": "cube:raw?", "bse": "bse?", "masks": "masks?", "cube_denoised": "cube:denoised?", "cube_normalized": "cube:normalized?", "features": "features?", "labels_raw": "labels:raw?", "labels": "labels:cleaned?", "stats": "stats?", "labels_hires": "labels_hires?", "tiles": "tiles?"}, {}, path=Param("str", "{out}/export"), flow_json=Param("str", "{flow}"), compression=Param("enum", "zstd", ("zstd", "snappy", "gzip", "none")))
 def _export(spark, x, p):
-    groups = {k: getattr(v, "df", v) for k, v in x.items()}
+    groups = {k: getattr(v, "df", v) for k, v in x.items() if k != "tiles"}
+    if "tiles" in x:
+        groups |= _tile_groups(spark, x["tiles"])
     meta = {"flow": p["flow_json"], "names": {str(k): v for k, v in getattr(x.get("labels"), "names", {}).items()}, "history": list(getattr(x.get("labels"), "history", ()))}
     images.write_groups(p["path"], groups, json.loads(json.dumps(meta, default=str)), p["compression"])
     return {}
@@ -331,7 +345,7 @@ def _figure(name, inputs, build, **params):
         return {}
 
 
-_figure("qc_mask", {"bse": "bse", "masks": "masks", "cube_raw": "cube:raw?"}, lambda x, p: {"mask": x["bse"].join(x["masks"], ["row", "col"]), "stats": masks.mask_stats(x["masks"])})
+_figure("qc_mask", {"bse": "bse", "masks": "masks", "cube_raw": "cube:raw?"}, lambda x, p: {"mask": x["bse"].join(x["masks"], ["row", "col"]), "stats": masks.mask_stats(x["masks"]), **({"reference": images.read_images(x["bse"].sparkSession, [p["tima_path"]]).drop("origin")} if p["tima_path"] else {})}, tima_path=Param("str", None))
 _figure("qc_denoise", {"cube_raw": "cube:raw", "cube_denoised": "cube:denoised", "bse": "bse", "masks": "masks"}, lambda x, p: {"before": summary.zoom(x["cube_raw"].df, x["masks"]), "after": summary.zoom(x["cube_denoised"].df, x["masks"]), "range": summary.percentiles(x["cube_raw"], x["masks"], (0.02, 0.98))}, method=Param("str", "bilateral"))
 _figure("qc_normalize", {"cube": "cube:normalized", "masks": "masks"}, lambda x, p: {"histogram": summary.histogram(x["cube"], x["masks"]), "correlation": pixels.covariance(x["cube"], x["masks"], "corr")})
 _figure("qc_scree", {"features": "features"}, lambda x, p: {"scree": pixels.cumulative(x["features"].df.sparkSession.createDataFrame(list(enumerate(x["features"].explained)), "component int, share double"))})

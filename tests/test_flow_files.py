@@ -125,3 +125,22 @@ def test_empty_tiles_keep_their_numbers(spark):
     got = sorted((r.tile_id, r.tr, r.tc, r.n_pixels) for r in cluster.tile_grid(pixels, 5, 0).collect())
     assert got == [(0, 0, 0, 2), (1, 0, 1, 0), (2, 1, 0, 0), (3, 1, 1, 1)]
     assert [(r.tile_id, r.n_pixels) for r in cluster.tile_grid(pixels, 5, 2).collect()] == [(0, 2)]
+
+
+def test_export_holds_tiles_and_names(spark, tmp_path):
+    from rasterloom.plans.stages import Tiles
+    from rasterloom.sources import images
+
+    df = spark.createDataFrame([(0, 0, 0, 1, 1.0)], "pixel_id long, row int, col int, label int, prob float")
+    tiles = Tiles([{"tile_id": 0, "n_pixels": 9, "n_clusters": 2, "n_noise": 1, "deferred": False, "merge_map": {0: 4, 1: 1}, "new_phases": [4]}], [{"global_id": 4, "n_pixels": 8, "discovered_in_tile": 0, "mean": np.array([0.5, 1.0]), "contributions": {0: 8}}])
+    at = f"file://{tmp_path}/export"
+    REGISTRY["export"].run(spark, {"labels": Labels(df, "cleaned", {1: "one"}), "tiles": tiles}, {"path": at})
+    assert [tuple(r) for r in images.read_group(spark, at, "tiles").collect()] == [(0, 9, 2, 1, False)]
+    assert sorted(tuple(r) for r in images.read_group(spark, at, "tile_clusters").collect()) == [(0, 0, 4), (0, 1, 1)]
+    assert images.read_group(spark, at, "registry").first()["mean"] == [0.5, 1.0]
+    assert images.read_meta(spark, at)["names"] == {"1": "one"}
+
+
+def test_built_in_flows_are_valid():
+    for name in ("stepwise", "global", "tiled", "tiled-rare"):
+        assert not [i for i in flow.validate(flow.Graph.read(flow.builtin(name).text())) if i.kind == "error"]
