@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -161,37 +163,156 @@ def rare_phase(labels: DataFrame, features: DataFrame, cube: Cube, tiles: list[d
     return labels.join(moved, "pixel_id", "left").withColumn("label", F.coalesce("phase", "label")).drop("phase"), registry
 
 
-def knn_vote(unassigned: DataFrame, assigned: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+@dataclass(frozen=True)
+class Cells:
+    """A k-d split of feature space into boxes without gaps; node 0 is all of it, and leaves are the cells."""
+
+    axis: np.ndarray  # -1 in a leaf
+    cut: np.ndarray  # coordinates from here on lie to the right
+    left: np.ndarray  # the right child is the next node
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, points: np.ndarray, cells: int) -> Cells:
+        """About ``cells`` boxes that hold equal shares of ``points``, cut where they spread most."""
+        wide = points.shape[1]
+        axis, cut, left, low, high = [-1], [0.0], [0], [np.full(wide, -np.inf)], [np.full(wide, np.inf)]
+        share, ready = max(1.0, len(points) / max(1, cells)), [(0, np.arange(len(points)))]
+        while ready:
+            node, who = ready.pop()
+            if len(who) < 2 * share:
+                continue
+            part = points[who]
+            along = int(np.ptp(part, axis=0).argmax())
+            values = part[:, along]
+            at = np.median(values)
+            at = at if at > values.min() else min(values[values > at], default=None)
+            if at is None:  # all points are equal
+                continue
+            axis[node], cut[node], left[node] = along, float(at), len(axis)
+            for side, mine in ((0, values < at), (1, values >= at)):
+                lo, hi = low[node].copy(), high[node].copy()
+                (lo if side else hi)[along] = at
+                ready.append((len(axis), who[mine]))
+                axis, cut, left, low, high = [*axis, -1], [*cut, 0.0], [*left, 0], [*low, lo], [*high, hi]
+        return cls(np.array(axis), np.array(cut), np.array(left), np.array(low), np.array(high))
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        at = np.zeros(len(x), dtype=np.int64)
+        while len(inner := np.flatnonzero(self.axis[at] >= 0)):
+            node = at[inner]
+            at[inner] = self.left[node] + (x[inner, self.axis[node]] >= self.cut[node])
+        return at
+
+    def reached(self, x: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        """For each point the cells that come as near as ``reach``, by descent from the whole."""
+        limit, ready = reach * (1 + 1e-9), [(0, np.arange(len(x)))]
+        found, of = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        while ready:
+            node, who = ready.pop()
+            gap = np.maximum(np.maximum(self.low[node] - x[who], x[who] - self.high[node]), 0.0)
+            who = who[np.sqrt((gap * gap).sum(axis=1)) <= limit[who]]
+            if not len(who):
+                continue
+            if self.axis[node] < 0:
+                found.append(np.full(len(who), node))
+                of.append(who)
+            else:
+                ready += [(self.left[node], who), (self.left[node] + 1, who)]
+        found, of = np.concatenate(found), np.concatenate(of)
+        by = np.argsort(of, kind="stable")
+        return np.split(found[by], np.cumsum(np.bincount(of, minlength=len(x)))[:-1])
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``y`` and distances of the ``k`` nearest of each row of ``x``, from differences; ties to the first."""
+    d = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        d += (x[:, i, None] - y[None, :, i]) ** 2
+    k = min(k, len(y))
+    pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+    tied = np.flatnonzero((d <= np.take_along_axis(d, pick, 1).max(axis=1)[:, None]).sum(axis=1) > k)
+    pick[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return pick, np.sqrt(np.take_along_axis(d, pick, 1))
+
+
+def _meet(asked: DataFrame, there: DataFrame, k: int, block: int) -> DataFrame:
+    """(pixel_id, label, d, other): the ``k`` nearest of ``there`` (r_id, r_f, r_label, cell) for ``asked`` (q_id, q_f, cell) in each block.
+
+    A cell of more than ``block`` rows on a side is cut by hash, so that every task holds
+    at most about one block of each side; a count a cell is broadcast for that.
+    """
+    sizes = asked.groupBy("cell").agg(F.count("*").alias("nq")).join(there.groupBy("cell").agg(F.count("*").alias("nr")), "cell")
+    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("nq") / block).cast("int").alias("qs"), F.ceil(F.col("nr") / block).cast("int").alias("rs")))  # a row a cell
+    left = asked.join(sizes, "cell").select("cell", "q_id", "q_f", F.pmod(F.xxhash64("q_id"), "qs").cast("int").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("rs") - 1)).alias("r_part"))
+    right = there.join(sizes, "cell").select(F.col("cell").alias("at"), "r_id", "r_f", "r_label", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("of_q"), F.pmod(F.xxhash64("r_id"), "rs").cast("int").alias("of_r"))
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"pixel_id": pd.Series(dtype="int64"), "label": pd.Series(dtype="int32"), "d": pd.Series(dtype="float64"), "other": pd.Series(dtype="int64")})]
+        if len(a) and len(b):
+            b = b.sort_values("r_id")
+            x, y = np.stack(a["q_f"].to_numpy()).astype(float), np.stack(b["r_f"].to_numpy()).astype(float)
+            ids, label, asking = b["r_id"].to_numpy(), b["r_label"].to_numpy(), a["q_id"].to_numpy()
+            for lo in range(0, len(x), 256):
+                pick, d = _nearest(x[lo : lo + 256], y, k)
+                out.append(pd.DataFrame({"pixel_id": np.repeat(asking[lo : lo + 256], pick.shape[1]), "label": label[pick].ravel(), "d": d.ravel(), "other": ids[pick].ravel()}))
+        return pd.concat(out[1:] or out)
+
+    return left.groupBy("cell", "q_part", "r_part").cogroup(right.groupBy("at", "of_q", "of_r")).applyInPandas(near, "pixel_id long, label int, d double, other long")
+
+
+def knn_vote(unassigned: DataFrame, assigned: DataFrame, k: int = 5, block: int = 4096, most_cells: int = 16_384) -> DataFrame:
     """(pixel_id, label): the vote of the ``k`` nearest assigned pixels by 1/distance.
 
     Neighbours at distance zero alone count where there are any; ties go to the lowest
-    label; k is clamped to the assigned pixels. Exact: assigned pixels are cut into
-    blocks, each unassigned pixel meets every block, keeps ``k`` of each and then of all.
+    pixel, then label; k is clamped to the assigned pixels. Exact: feature space is cut into cells
+    of about ``block`` assigned pixels (``most_cells`` at most; fuller cells take more
+    tasks), by cuts learned from a bounded draw. A pixel first asks its own cell, then
+    those cells that come as near as the k-th neighbour found there. Of equal assigned
+    features only the ``k`` lowest pixels are kept, as no more can be among the nearest.
     """
-    n = assigned.count()
-    blocks = max(1, -(-n // block))
+    first = F.row_number().over(W.partitionBy("r_f").orderBy("r_id"))
     # Both sides may come from one frame, so their columns get names of their own.
-    left = unassigned.select(F.col("pixel_id").alias("q_id"), F.col("f").alias("q_f")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q_part", F.pmod(F.xxhash64("q_id"), F.lit(8)))
-    right = assigned.select(F.col("pixel_id").alias("r_id"), F.col("f").alias("r_f"), F.col("label").alias("r_label")).withColumn("r_block", F.pmod(F.xxhash64("r_id"), F.lit(blocks)).cast("int")).withColumn("r_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"pixel_id": pd.Series(dtype="int64"), "label": pd.Series(dtype="int32"), "d": pd.Series(dtype="float64"), "other": pd.Series(dtype="int64")})
-        x, y = np.stack(a["q_f"].to_numpy()).astype(float), np.stack(b["r_f"].to_numpy()).astype(float)
-        out = []
-        for lo in range(0, len(x), 1024):
-            part = x[lo : lo + 1024]
-            rough = (part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * part @ y.T
-            m = min(len(y), k + max(3, k // 2))
-            pick = np.argpartition(rough, m - 1, axis=1)[:, :m]
-            d = np.sqrt(((part[:, None, :] - y[pick]) ** 2).sum(2))
-            order = np.lexsort((b["r_id"].to_numpy()[pick], d), axis=1)[:, :k]
-            pick, d = np.take_along_axis(pick, order, 1), np.take_along_axis(d, order, 1)
-            out.append(pd.DataFrame({"pixel_id": np.repeat(a["q_id"].to_numpy()[lo : lo + 1024], pick.shape[1]), "label": b["r_label"].to_numpy()[pick].ravel(), "d": d.ravel(), "other": b["r_id"].to_numpy()[pick].ravel()}))
-        return pd.concat(out)
-
-    close = left.groupBy("q_block", "q_part").cogroup(right.groupBy("r_block", "r_part")).applyInPandas(near, "pixel_id long, label int, d double, other long")
-    return vote(close.withColumn("rank", F.row_number().over(W.partitionBy("pixel_id").orderBy("d", "other"))).filter(F.col("rank") <= k))
+    there = assigned.select(F.col("pixel_id").alias("r_id"), F.col("f").cast("array<double>").alias("r_f"), F.col("label").alias("r_label")).withColumn("first", first).filter(F.col("first") <= k).drop("first")
+    asked = unassigned.select(F.col("pixel_id").alias("q_id"), F.col("f").cast("array<double>").alias("q_f"))
+    n = there.count()
+    if not n:
+        return asked.select(F.col("q_id").alias("pixel_id"), F.lit(0).alias("label")).limit(0)
+    cells = min(most_cells, -(-n // block))
+    wide = there.select(F.size("r_f")).first()[0]
+    drawn = min(32 * cells, (1 << 22) // max(1, wide)) if cells > 1 else 1
+    points = np.array([r[0] for r in there.select("r_f").sample(min(1.0, drawn / n), seed=5).limit(2 * drawn).collect()]).reshape(-1, wide)
+    tree = unassigned.sparkSession.sparkContext.broadcast(Cells.of(points, cells) if len(points) else Cells.of(np.zeros((1, wide)), 1))
+
+    def homes(df: DataFrame, vector: str) -> DataFrame:
+        @F.pandas_udf("long")
+        def home(v: pd.Series) -> pd.Series:
+            return pd.Series(tree.value.home(np.stack(v.to_numpy())) if len(v) else [], dtype="int64")
+
+        return df.withColumn("cell", home(vector))
+
+    there, asked = homes(there, "r_f"), homes(asked, "q_f")
+    here = _best(_meet(asked, there, k, block), k)
+    if cells == 1:
+        return vote(here)
+    reach = here.groupBy("pixel_id").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("reach"))
+
+    @F.pandas_udf("array<long>")
+    def others(v: pd.Series, r: pd.Series, own: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        cells = tree.value.reached(np.stack(v.to_numpy()), r.to_numpy(dtype=float))
+        return pd.Series([c[c != o] for c, o in zip(cells, own)])
+
+    further = asked.join(reach, F.col("q_id") == F.col("pixel_id"), "left").select("q_id", "q_f", F.explode(others("q_f", F.coalesce("reach", F.lit(float("inf"))), "cell")).alias("cell"))
+    return vote(_best(here.unionByName(_meet(further, there, k, block)), k))
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("pixel_id").orderBy("d", "other"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
 def vote(near: DataFrame) -> DataFrame:
