@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import time
 
 from .errors import FlowError
 from .plans import flow
@@ -41,11 +40,25 @@ def main(argv: list[str] | None = None) -> int:
         if a.what == "run":
             from pyspark.sql import SparkSession
 
-            spark, began = SparkSession.builder.getOrCreate(), time.time()
-            got = flow.run(spark, graph, {k: v for k, v in (("input", a.input), ("out", a.out), ("work", a.work)) if v}, a.work, skip_sinks=a.no_qc, on_event=lambda name, **f: print(name, f, file=sys.stderr))
-            record = {"flow": json.loads(graph.text()), "nodes": got["record"], "seconds": time.time() - began}
-            if a.out:
-                spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/run")
+            from .plans.record import RunRecord
+
+            spark = SparkSession.builder.getOrCreate()
+            tokens = {k: v for k, v in (("input", a.input), ("out", a.out), ("work", a.work)) if v}
+            record = RunRecord(spark, a.out, graph, list(argv if argv is not None else sys.argv[1:]), tokens) if a.out else None
+
+            def heard(name, **facts):
+                print(name, facts, file=sys.stderr)
+                if record:
+                    record.event(name, **facts)
+
+            try:
+                flow.run(spark, graph, tokens, a.work, skip_sinks=a.no_qc, on_event=heard)
+            except BaseException as e:
+                if record:
+                    record.finish("interrupted" if isinstance(e, KeyboardInterrupt) else "failed", str(e) or type(e).__name__)
+                raise
+            if record:
+                record.finish("ok")
         return 0
     except FlowError as e:
         print(f"error: {e}", file=sys.stderr)

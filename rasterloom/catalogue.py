@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.grammar import feature
-from .operators import cluster, masks, pixels, split, stencil, summary
+from .operators import cluster, compare, masks, pixels, split, stencil, summary
 from .operators.pixels import Cube
 from .plans.flow import builtin, lineage, run_catalogue_flow
 from .plans.stages import REGISTRY, Labels, named
@@ -264,16 +264,87 @@ def joint_bse(spark, sf):
     return _band(spark, sf, "(0.2125D * a + 0.7154D * b + 0.0721D * d) / 255.0D")
 
 
-@query()
-def bilateral_tiled(spark, sf):
+_FILLED = "filled as (select \"row\", \"col\", mineral, " + ", ".join(f'case when mineral then "{c}" else (select avg("{c}") from mineral where mineral) end as "{c}"' for c in "ABD") + " from mineral)"
+
+
+def _smooth_sql(off: bool, guide: str | None = None, out: str = "smooth") -> str:
+    """Tables of the bilateral filter over the filled channels, in long form: (row, col, mineral, ch, v)."""
+    weight = "exp(-(power((i * 7 + j) // 8 - 4, 2) + power((i * 7 + j) % 8 - 4, 2)) / 2.0)" if off else "exp(-(power(i - 3, 2) + power(j - 3, 2)) / 2.0)"
+    channels = " union all ".join(f"""select "row", "col", mineral, '{c}' as ch, "{c}" as v, {guide or f'"{c}"'} as g from filled""" for c in "ABD")
+    span = "max(g)" if off else "greatest(max(g), 0) - least(min(g), 0)"
+    return f"""chan as materialized ({channels}), facts as (select ch, {span} as span, stddev_pop(g) as sigma from chan group by 1),
+    steps as (select cast(i - 3 as int) as dr, cast(j - 3 as int) as dc, {weight} as w from range(7) x(i), range(7) y(j)),
+    asked as (select c."row", c."col", c.mineral, c.ch, c.g, span, sigma, c."row" + dr as r2, c."col" + dc as c2, w from chan c join facts using (ch), steps),
+    met as (select p."row", p."col", p.mineral, p.ch, w * exp(-0.5 * power(least(floor(abs(p.g - coalesce(n.g, 0)) * (10000 / span)), 9999) * span / 10000 / sigma, 2)) as e, coalesce(n.v, 0) as v
+      from asked p left join chan n on n.ch = p.ch and n."row" = p.r2 and n."col" = p.c2),
+    {out} as (select "row", "col", mineral, ch, case when mineral then sum(e * v) / sum(e) else 0.0 end as v from met group by 1, 2, 3, 4)"""
+
+
+def _diffused_sql(rounds: int = 10, out: str = "diffused") -> str:
+    """Tables of the diffusion, a round each, in the same long form."""
+    channels = " union all ".join(f"""select "row", "col", mineral, '{c}' as ch, ("{c}" - low) / (high - low) as u, low, high from filled, (select min("{c}") as low, max("{c}") as high from mineral where mineral)""" for c in "ABD")
+    tables = [f"u0 as materialized ({channels})"]
+    flow = lambda a, b: f"coalesce(({a} - {b}) / (1 + power(({a} - {b}) / 50.0, 2)), 0)"
+    for i in range(rounds):
+        near = " ".join(f'left join u{i} {n} on {n}.ch = p.ch and {n}."row" = p."row" + {dr} and {n}."col" = p."col" + {dc}' for n, dr, dc in (("s", 1, 0), ("n", -1, 0), ("e", 0, 1), ("w", 0, -1)))
+        tables.append(f"""u{i + 1} as materialized (select p."row", p."col", p.mineral, p.ch, p.u + 0.1::double * ({flow("s.u", "p.u")} - {flow("p.u", "n.u")} + {flow("e.u", "p.u")} - {flow("p.u", "w.u")}) as u, p.low, p.high from u{i} p {near})""")
+    return ", ".join(tables) + f', {out} as (select "row", "col", mineral, ch, case when mineral then u * (high - low) + low else 0.0 end as v from u{rounds})'
+
+
+def _wide_sql(table: str) -> str:
+    return 'select "row", "col", ' + ", ".join(f"round(max(v) filter (where ch = '{c}'), 6) as \"{c}\"" for c in "ABD") + f" from {table} group by 1, 2"
+
+
+def _smoothed(spark, sf, **options):
+    """The tiled filter in double precision, as its SQL computes it."""
     cube, _, mask = cube_of(spark, sf)
-    return stencil.bilateral(cube, mask, tile=32).df
+    return stencil.bilateral(cube, mask, tile=32, kind=np.float64, **options).df.select("row", "col", *r6(*"ABD"))
 
 
-@query()
+@query(f"+{_FILLED}, {_smooth_sql(False)} {_wide_sql('smooth')}")
+def bilateral_tiled(spark, sf):
+    return _smoothed(spark, sf)
+
+
+@query(f"+{_FILLED}, {_smooth_sql(True)} {_wide_sql('smooth')}")
+def bilateral_tiled_offcentre(spark, sf):
+    return _smoothed(spark, sf, off_centre=True)
+
+
+@query(f"""+{_FILLED}, {_smooth_sql(False, '"A" + "B" + "D"')} {_wide_sql('smooth')}""")
+def joint_tiled_total(spark, sf):
+    return _smoothed(spark, sf, guide="total")
+
+
+@query(f"+{_FILLED}, {_diffused_sql()} {_wide_sql('diffused')}")
 def anisotropic_diffusion(spark, sf):
     cube, _, mask = cube_of(spark, sf)
-    return stencil.diffuse(cube, mask, tile=32).df
+    return stencil.diffuse(cube, mask, tile=32, kind=np.float64).df.select("row", "col", *r6(*"ABD"))
+
+
+def _sobel_sql(source: str, out: str) -> str:
+    """Sobel magnitudes of (row, col, ch, v) by the nine neighbours; one that is not there counts as the nearest pixel inwards."""
+    near = " ".join(f'left join {source} {n} on {n}.ch = p.ch and {n}."row" = p."row" + {dr} and {n}."col" = p."col" + {dc}' for n, dr, dc in (("n", -1, 0), ("s", 1, 0)))
+    return f"""{out}_x as materialized (select p.ch, p."row", p."col", (coalesce(e.v, p.v) - coalesce(w.v, p.v)) / 2 as d, (coalesce(w.v, p.v) + 2 * p.v + coalesce(e.v, p.v)) / 4 as s from {source} p
+      left join {source} e on e.ch = p.ch and e."row" = p."row" and e."col" = p."col" + 1 left join {source} w on w.ch = p.ch and w."row" = p."row" and w."col" = p."col" - 1),
+    {out} as materialized (select p.ch, p."row", p."col", sqrt((power((coalesce(n.d, p.d) + 2 * p.d + coalesce(s.d, p.d)) / 4, 2) + power((coalesce(s.s, p.s) - coalesce(n.s, p.s)) / 2, 2)) / 2) as g from {out}_x p {near.replace(f'join {source} ', f'join {out}_x ')})"""
+
+
+def _metrics_sql(method: str, table: str) -> str:
+    return f"""select '{method}' as method, r.ch as channel, round(sqrt(avg(power(r.v - t.v, 2))), 6) as rmse, round(corr(g.g, l.g), 6) as edge_preservation
+      from rawlong r join {table} t using ("row", "col", ch) join {table}_g g using ("row", "col", ch) join light_g l on l."row" = r."row" and l."col" = r."col" where r.mineral group by 2"""
+
+
+@query(
+    f"+{_FILLED}, {_smooth_sql(True)}, {_diffused_sql()}, rawlong as ("
+    + " union all ".join(f"""select "row", "col", mineral, '{c}' as ch, "{c}" as v from mineral""" for c in "ABD")
+    + f"), light as (select 'bse' as ch, \"row\", \"col\", {_BSE} as v from raster), {_sobel_sql('smooth', 'smooth_g')}, {_sobel_sql('diffused', 'diffused_g')}, {_sobel_sql('light', 'light_g')} "
+    + _metrics_sql("bilateral", "smooth") + " union all " + _metrics_sql("anisotropic", "diffused")
+)
+def compare_denoisers(spark, sf):
+    cube, _, mask = cube_of(spark, sf)
+    bse = levels(spark, sf).select("row", "col", F.expr("(0.2125D * a + 0.7154D * b + 0.0721D * d) / 255.0D").alias("bse"))
+    return compare.compare_denoisers(cube, mask, bse, tile=32, kind=np.float64).select("method", "channel", *r6("rmse", "edge_preservation"))
 
 
 # --- normalisation and components ---------------------------------------------------------
@@ -509,6 +580,25 @@ def label_image(spark, sf):
     return summary.label_image(labels_of(spark, sf)[0], 64, 64)
 
 
+@query("select label, case when label < 0 then '#d9d9d9' else list_extract([" + ", ".join(f"'{c}'" for c in summary.TAB20) + "], label % 20 + 1) end as colour from (select n_nationkey - 1 as label from nation)")
+def label_colours(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select((F.col("n_nationkey") - 1).alias("label"))
+    return n.select("label", summary.label_colour(F.col("label")).alias("colour"))
+
+
+@query("select phase as label, count(*) as n_pixels, count(*) filter (where label < 0) as gained from (select case when (la + lb) % 5 = 0 then -1 else phase end as label, phase from mineral where mineral) group by 1")
+def gained_pixels(spark, sf):
+    labels, _ = labels_of(spark, sf)
+    voted = with_phase(labels.select("row", "col")).select("row", "col", F.col("phase").alias("label"))
+    return summary.gained(voted, labels)
+
+
+@query("select n_regionkey % 3 as kind, arg_max(n_name, n_nationkey) as path from nation group by 1")
+def newest_entry(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    return summary.newest(n.select((F.col("n_regionkey") % 3).alias("kind"), F.col("n_name").alias("path"), F.col("n_nationkey").alias("mtime")))
+
+
 @query(_LONG + ", e as (select channel, min(x) as low, max(x) as high, count(*) as n from long group by 1) select channel, cast(least(floor((x - low) / (high - low) * 100), 99) as bigint) as bin, round(count(*) / any_value(n)::double / ((any_value(high) - any_value(low)) / 100), 6) as density from long join e using (channel) group by 1, 2")
 def qc_histogram(spark, sf):
     cube, _, mask = cube_of(spark, sf)

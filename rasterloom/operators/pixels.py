@@ -110,11 +110,17 @@ def validate_normalized(cube: Cube, mask: DataFrame, tolerance: float = 0.01) ->
     return long.withColumn("ok", (F.abs("mean") < tolerance) & (F.abs(F.col("std") - 1) < tolerance))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation as an aggregate; null where a side is constant (``corr`` divides by zero there)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def covariance(cube: Cube, mask: DataFrame, kind: str = "covar_samp") -> DataFrame:
-    """(a, b, value) for a <= b, over mineral pixels, in one aggregate; ``corr`` gives correlations."""
+    """(a, b, value) for a <= b, over mineral pixels, in one aggregate; ``corr`` gives correlations, null of constant channels."""
     inside = cube.df.join(mask.filter("mineral").select("row", "col"), ["row", "col"], "left_semi")
     pairs = [(a, b) for i, a in enumerate(cube.channels) for b in cube.channels[i:]]
-    row = inside.agg(*(getattr(F, kind)(cell(a), cell(b)).alias(f"v{i}") for i, (a, b) in enumerate(pairs)))
+    found = correlation if kind == "corr" else getattr(F, kind)
+    row = inside.agg(*(found(cell(a), cell(b)).alias(f"v{i}") for i, (a, b) in enumerate(pairs)))
     return row.selectExpr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', v{i}" for i, (a, b) in enumerate(pairs)) + ") as (a, b, value)")
 
 

@@ -44,12 +44,12 @@ def _tiles(df: DataFrame, tile: int, halo: int) -> DataFrame:
     return df.withColumn("tr", F.explode(at("row"))).withColumn("tc", F.explode(at("col")))
 
 
-def _image(pdf: pd.DataFrame, name: str, tile: int, halo: int) -> tuple[np.ndarray, np.ndarray]:
+def _image(pdf: pd.DataFrame, name: str, tile: int, halo: int, kind=np.float32) -> tuple[np.ndarray, np.ndarray]:
     size = tile + 2 * halo
     r = pdf["row"].to_numpy() - pdf["tr"].iloc[0] * tile + halo
     c = pdf["col"].to_numpy() - pdf["tc"].iloc[0] * tile + halo
-    out, inside = np.zeros((size, size), dtype=np.float32), np.zeros((size, size), dtype=bool)
-    out[r, c], inside[r, c] = pdf[name].to_numpy(np.float32), True
+    out, inside = np.zeros((size, size), dtype=kind), np.zeros((size, size), dtype=bool)
+    out[r, c], inside[r, c] = pdf[name].to_numpy(kind), True
     return out, inside
 
 
@@ -68,13 +68,14 @@ def _over_tiles(df: DataFrame, names: list[str], tile: int, halo: int, compute)
     return _tiles(df, tile, halo).groupBy("tr", "tc").applyInPandas(run, kinds)
 
 
-def bilateral(cube: Cube, mask: DataFrame, sigma_spatial: float = 1.0, sigma_color: float | None = None, guide: str | None = None, off_centre: bool = False, tile: int = 256) -> Cube:
+def bilateral(cube: Cube, mask: DataFrame, sigma_spatial: float = 1.0, sigma_color: float | None = None, guide: str | None = None, off_centre: bool = False, tile: int = 256, kind=np.float32) -> Cube:
     """Edge-keeping smoothing; outside the image values and guide are 0 and count.
 
     ``guide`` names a column of the cube (or ``"total"``, the sum of channels) for the
     joint form. The range weight is tabulated in 10,000 steps. An automatic
     ``sigma_color`` is the population spread of the filled guide. A constant guide
     leaves its own image as it is, and for another image weighs in-image neighbours alone.
+    Sums are in the precision ``kind``.
     """
     full, _ = filled(cube, mask)
     df = full.df
@@ -92,22 +93,22 @@ def bilateral(cube: Cube, mask: DataFrame, sigma_spatial: float = 1.0, sigma_col
     def compute(pdf: pd.DataFrame, c: str) -> np.ndarray:
         g = guide or c
         low, high, std = facts[g]
-        image, inside = _image(pdf, c, tile, halo)
+        image, inside = _image(pdf, c, tile, halo, kind)
         if low == high and g == c:
             return image
-        lead = image if g == c else _image(pdf, g, tile, halo)[0]
+        lead = image if g == c else _image(pdf, g, tile, halo, kind)[0]
         span = (high if off_centre else max(high, 0.0) - min(low, 0.0)) or 1.0
         sigma = sigma_color if sigma_color is not None else float(std)
-        bins = np.exp(-0.5 * (np.arange(LEVELS) * span / LEVELS / (sigma or 1.0)) ** 2).astype(np.float32)
+        bins = np.exp(-0.5 * (np.arange(LEVELS) * span / LEVELS / (sigma or 1.0)) ** 2).astype(kind)
         n, total, weight = len(image), np.zeros_like(image), np.zeros_like(image)
         core = slice(halo, n - halo)
         for dr, dc, w in table:
             part = (slice(halo + dr, n - halo + dr), slice(halo + dc, n - halo + dc))
             if sigma:
-                step = np.minimum((np.abs(lead[core, core] - lead[part]) * np.float32(LEVELS / span)).astype(np.int64), LEVELS - 1)
-                each = np.float32(w) * bins[step]
+                step = np.minimum((np.abs(lead[core, core] - lead[part]) * kind(LEVELS / span)).astype(np.int64), LEVELS - 1)
+                each = kind(w) * bins[step]
             else:
-                each = np.float32(w) * inside[part]
+                each = kind(w) * inside[part]
             total[core, core] += each * image[part]
             weight[core, core] += each
         return total / np.maximum(weight, 1e-30)
@@ -121,15 +122,15 @@ def _remasked(df: DataFrame, mask: DataFrame, names) -> DataFrame:
     return joined.select("row", "col", *(F.when(F.coalesce("mineral", F.lit(False)), cell(c)).otherwise(F.lit(0.0)).alias(c) for c in names))
 
 
-def diffuse(cube: Cube, mask: DataFrame, niter: int = 10, kappa: float = 50.0, gamma: float = 0.1, option: int = 2, tile: int = 256) -> Cube:
-    """Perona-Malik diffusion of each channel scaled to [0, 1] by its mineral range; exact in one pass with a border of ``niter``."""
+def diffuse(cube: Cube, mask: DataFrame, niter: int = 10, kappa: float = 50.0, gamma: float = 0.1, option: int = 2, tile: int = 256, kind=np.float32) -> Cube:
+    """Perona-Malik diffusion of each channel scaled to [0, 1] by its mineral range; exact in one pass with a border of ``niter``. Images are read in the precision ``kind``."""
     full, _ = filled(cube, mask)
     names = list(cube.channels)
     got = full.df.filter("mineral").agg(*(f(cell(c)) for c in names for f in (F.min, F.max))).first()
     span = {c: got[2 * i : 2 * i + 2] for i, c in enumerate(names)}
 
     def compute(pdf: pd.DataFrame, c: str) -> np.ndarray:
-        image, inside = _image(pdf, c, tile, niter)
+        image, inside = _image(pdf, c, tile, niter, kind)
         low, high = span[c]
         if not high or high <= low:
             return image

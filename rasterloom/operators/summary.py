@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,6 +73,35 @@ def percentiles(cube: Cube, mask: DataFrame, at=(0.01, 0.02, 0.98, 0.99)) -> Dat
     return row.selectExpr(f"stack({len(cube.channels) * len(at)}, {pairs}) as (channel, q, value)")
 
 
+# The twenty colours of the "tab20" table, and the grey of the background.
+TAB20 = (
+    "#1f77b4 #aec7e8 #ff7f0e #ffbb78 #2ca02c #98df8a #d62728 #ff9896 #9467bd #c5b0d5 "
+    "#8c564b #c49c94 #e377c2 #f7b6d2 #7f7f7f #c7c7c7 #bcbd22 #dbdb8d #17becf #9edae5"
+).split()
+GREY = "#d9d9d9"
+
+
+def label_colour(label: Column) -> Column:
+    """The colour of a label, by its value alone, so that every figure shows it alike; grey below zero."""
+    return F.when(label < 0, F.lit(GREY)).otherwise(F.array(*map(F.lit, TAB20))[label % len(TAB20)])
+
+
+def gained(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
+    """(label, n_pixels, gained): pixels of each phase, and how many of them were unassigned before.
+
+    ``gained`` is null where the two frames do not cover the same pixels.
+    """
+    both = cleaned.filter("label is not null").select("row", "col", "label").join(raw.select("row", "col", F.col("label").alias("before"), F.lit(True).alias("there")), ["row", "col"], "full")
+    phases = both.groupBy("label").agg(F.count("*").alias("n_pixels"), F.sum((F.col("before") < 0).cast("long")).alias("gained"), F.sum((F.col("label").isNull() | F.col("there").isNull()).cast("long")).alias("odd"))
+    alike = F.sum("odd").over(W.partitionBy(F.lit(1))) == 0  # a row a phase
+    return phases.withColumn("gained", F.when(alike, F.coalesce("gained", F.lit(0)))).filter("label >= 0").select("label", "n_pixels", "gained")
+
+
+def newest(entries: DataFrame, kind: str = "kind", path: str = "path", time: str = "mtime") -> DataFrame:
+    """(kind, path): the newest cache entry of each kind, the last path of equals."""
+    return entries.groupBy(kind).agg(F.max(F.struct(time, path))[path].alias(path))
+
+
 def label_image(labels: DataFrame, height: int, width: int) -> DataFrame:
     """Every pixel of the image with its label, -1 outside."""
     grid = labels.sparkSession.range(height * width).select((F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))

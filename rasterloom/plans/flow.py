@@ -8,6 +8,7 @@ import time
 from collections import deque
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,7 +217,11 @@ def run(spark: SparkSession, graph: Graph, tokens: dict[str, str] | None = None,
         raise FlowError("; ".join(f"{i.where}: {i.text}" for i in errors))
     graph, tokens = complete(graph), {**(tokens or {}), "flow": graph.text()}
     nodes, outputs, record = {n.id: n for n in graph.nodes}, {}, []
-    names = recipes(graph, {n.id: source_signature(spark, filled(n.params, tokens)["input_dir"], n.params["file_glob"]) for n in graph.nodes if REGISTRY[n.type].source and n.id not in (provided or {})})
+    sources = [n for n in graph.nodes if REGISTRY[n.type].source and n.id not in (provided or {})]
+    try:
+        names = recipes(graph, {n.id: source_signature(spark, filled(n.params, tokens)["input_dir"], n.params["file_glob"]) for n in sources})
+    except PySparkException as e:
+        raise FlowError(f"no source files: {e}") from e
     for at in order(graph):
         s, began = REGISTRY[nodes[at].type], time.time()
         if skip_sinks and s.sink:

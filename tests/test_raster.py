@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom import catalogue
 from rasterloom.errors import FlowError, ParamError
 from rasterloom.functions import grammar
-from rasterloom.operators import cluster, hdbscan, masks, pixels, split, stencil
+from rasterloom.operators import cluster, compare, hdbscan, masks, pixels, split, stencil, summary
 from rasterloom.operators.pixels import Cube
 from rasterloom.plans import flow
 from rasterloom.plans.stages import REGISTRY
@@ -158,6 +158,76 @@ def test_knn_equals_brute_force(spark):
         assert got[i] == w.argmax()
 
 
+@pytest.mark.parametrize("kind, block", [("clusters", 40), ("hot", 60), ("hot", 10**6)])
+def test_knn_over_cells_is_exact(spark, kind, block):
+    rng = np.random.default_rng(8)
+    if kind == "clusters":
+        x, q = np.concatenate([rng.normal(c, 0.3, (150, 3)) for c in (0, 5, 9)]), rng.uniform(-2, 11, (90, 3))
+    else:  # a third of the rows are equal, many others tie
+        x, q = np.concatenate([np.ones((200, 2)), rng.normal(0, 1, (300, 2)).round(1)]), np.concatenate([np.ones((30, 2)), rng.normal(0, 2, (60, 2)).round(1)])
+    y = rng.integers(0, 4, len(x))
+    both = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))] + [(10_000 + i, v.tolist(), -1) for i, v in enumerate(q)]
+    df = spark.createDataFrame(both, "pixel_id long, f array<double>, label int")
+    got = {r.pixel_id: r.label for r in cluster.knn_vote(df.filter("label < 0"), df.filter("label >= 0"), 5, block=block).collect()}
+    assert len(got) == len(q)
+    for i, v in enumerate(q):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        near = np.argsort(d, kind="stable")[:5]
+        d = d[near]
+        w = np.bincount(y[near], weights=(d == 0) if (d == 0).any() else 1 / d, minlength=4)
+        assert w[got[10_000 + i]] >= w.max() - 1e-9
+
+
+def test_knn_without_assigned_pixels_and_with_fewer_than_k(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0], -1), (1, [1.0, 0.0], 3), (2, [5.0, 0.0], 1)], "pixel_id long, f array<double>, label int")
+    assert cluster.knn_vote(df.filter("label < 0"), df.filter("label > 9"), 5).count() == 0
+    assert [r.label for r in cluster.knn_vote(df.filter("label < 0"), df.filter("label >= 0"), 5, block=1).collect()] == [3]
+
+
+def test_gradients_of_a_ramp_and_of_a_step(spark):
+    ramp = np.tile(np.arange(6.0), (5, 1))
+    got = grid(compare.gradients(frame(spark, ramp), ["value"]), "value", ramp.shape)
+    assert np.allclose(got[:, 1:-1], 1 / np.sqrt(2)) and np.allclose(got[:, [0, -1]], 0.5 / np.sqrt(2))
+    step = np.zeros((5, 6))
+    step[:, 3:] = 1
+    got = grid(compare.gradients(frame(spark, step), ["value"]), "value", step.shape)
+    assert np.allclose(got[:, 2:4], 0.5 / np.sqrt(2)) and not got[:, [0, 1, 4, 5]].any()
+
+
+def test_an_unchanged_cube_has_no_distance_and_a_flat_one_no_edges(spark):
+    image = np.random.default_rng(5).random((9, 9))
+    cube, mask = Cube(frame(spark, image, "A"), ("A",)), everywhere(spark, image.shape)
+    same = compare.denoiser_metrics(cube, cube, mask, frame(spark, image, "bse")).first()
+    assert same.rmse == 0 and abs(same.edge_preservation - 1) < 1e-9
+    flat = compare.denoiser_metrics(cube, Cube(frame(spark, np.ones((9, 9)), "A"), ("A",)), mask, frame(spark, image, "bse")).first()
+    assert flat.edge_preservation == 0 and abs(flat.rmse - np.sqrt(((image - 1) ** 2).mean())) < 1e-9
+
+
+def test_correlation_with_a_constant_channel_is_null(spark):
+    df = spark.createDataFrame([(0, i, float(i), 1.0) for i in range(5)], "row int, col int, A double, B double")
+    got = {(r.a, r.b): r.value for r in pixels.covariance(Cube(df, ("A", "B")), everywhere(spark, (1, 5)), "corr").collect()}
+    assert abs(got["A", "A"] - 1) < 1e-12 and got["A", "B"] is None and got["B", "B"] is None
+
+
+def test_gains_need_the_same_pixels(spark):
+    rows = lambda *v: spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "row int, col int, label int")
+    assert {r.label: (r.n_pixels, r.gained) for r in summary.gained(rows(1, 1, 2), rows(-1, 1, -1)).collect()} == {1: (2, 1), 2: (1, 1)}
+    assert {r.label: r.gained for r in summary.gained(rows(1, 1, 2), rows(-1, 1)).collect()} == {1: None, 2: None}
+    assert {r.label: r.gained for r in summary.gained(rows(1, 1), rows(-1, 1, 2)).collect()} == {1: None}
+
+
+def test_a_failed_run_leaves_its_record(spark, tmp_path):
+    import json
+
+    from rasterloom.__main__ import main
+
+    args = ["run", "--builtin", "stepwise", "--input", str(tmp_path / "none"), "--out", str(tmp_path / "out")]
+    assert main(args) == 1
+    runs = tmp_path / "out" / "runs"
+    data = json.loads((runs / (runs / "LATEST").read_text().strip() / "run.json").read_text())
+    assert data["status"] == "failed" and data["error"] and data["nodes"]["pca"]["status"] == "pending"
+
+
 def test_gmm_split_parts_two_blobs(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([0.05 + rng.normal(0, 0.004, 30), 0.17 + rng.normal(0, 0.004, 10)])
