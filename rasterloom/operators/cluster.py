@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import hdbscan
-from .pixels import Cube, cell, subsample_ids
+from .pixels import Cube, cell, sequential_moments, subsample_ids
 
 LABELS = "pixel_id long, row int, col int, label int, prob float"
 
@@ -65,9 +65,13 @@ def deferred_pixels(labels: DataFrame, tile_size: int, least: int) -> DataFrame:
     return keyed.join(poor.select("tr", "tc"), ["tr", "tc"], "left_semi").drop("tr", "tc")
 
 
-def fingerprint_means(labels: DataFrame, cube: Cube, keys: list[str]) -> DataFrame:
-    """Mean of every channel by ``keys`` over assigned pixels, and their number."""
+def fingerprint_means(labels: DataFrame, cube: Cube, keys: list[str], accumulate: str = "float64") -> DataFrame:
+    """Mean of every channel by ``keys`` over assigned pixels, and their number; rows without a key are left out of float32 sums."""
     joined = labels.filter("label >= 0").join(cube.df, ["row", "col"])
+    if accumulate == "float32":
+        found = sequential_moments(joined.dropna(subset=keys), keys, list(cube.channels), spread=False)
+        rows = [(*k, n, mean.astype(float).tolist()) for k, n, mean, _ in found]
+        return labels.sparkSession.createDataFrame(rows, ", ".join(f"`{k}` int" for k in keys) + ", n_pixels long, mean array<double>")
     return joined.groupBy(*keys).agg(F.count("*").alias("n_pixels"), F.array(*(F.avg(cell(c)) for c in cube.channels)).alias("mean"))
 
 
@@ -100,7 +104,7 @@ def register(registry: list[dict], prints: list[tuple[int, int, np.ndarray]], th
     return merged, new
 
 
-def hdbscan_tiled(features: DataFrame, cube: Cube, tile_size: int = 512, min_cluster_size: int = 1000, min_samples: int = 0, subsample_n: int = 0, random_state: int = 42, merge_threshold: float = 0.92, min_tile_pixels: int = 0, min_clusters_per_tile: int = 3):
+def hdbscan_tiled(features: DataFrame, cube: Cube, tile_size: int = 512, min_cluster_size: int = 1000, min_samples: int = 0, subsample_n: int = 0, random_state: int = 42, merge_threshold: float = 0.92, min_tile_pixels: int = 0, min_clusters_per_tile: int = 3, accumulate: str = "float64"):
     """(labels, tiles, registry): a fit for each tile in parallel, then a fold of tile clusters in tile order.
 
     A tile with too few clusters is deferred: its pixels stay unassigned for the end.
@@ -124,7 +128,7 @@ def hdbscan_tiled(features: DataFrame, cube: Cube, tile_size: int = 512, min_clu
     local = tiled.groupBy("tr", "tc").applyInPandas(run, "pixel_id long, row int, col int, tile_id int, label int, prob float").persist()
     counts = {r.tile_id: r for r in local.filter("tile_id is not null").groupBy("tile_id").agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n"), F.sum((F.col("label") < 0).cast("long")).alias("noise"), F.count("*").alias("size")).collect()}
     prints: dict[int, list] = {}
-    for r in fingerprint_means(local, cube, ["tile_id", "label"]).filter("tile_id is not null").collect():
+    for r in fingerprint_means(local, cube, ["tile_id", "label"], accumulate).filter("tile_id is not null").collect():
         prints.setdefault(r.tile_id, []).append((r.label, r.n_pixels, np.array(r["mean"])))
     registry, tiles, moves = [], [], []
     for t in sorted(counts):
@@ -138,7 +142,7 @@ def hdbscan_tiled(features: DataFrame, cube: Cube, tile_size: int = 512, min_clu
     return labels, tiles, registry
 
 
-def rare_phase(labels: DataFrame, features: DataFrame, cube: Cube, tiles: list[dict], registry: list[dict], min_cluster_size: int = 50, min_samples: int = 0, subsample_n: int = 500_000, merge_threshold: float = 0.92, random_state: int = 42):
+def rare_phase(labels: DataFrame, features: DataFrame, cube: Cube, tiles: list[dict], registry: list[dict], min_cluster_size: int = 50, min_samples: int = 0, subsample_n: int = 500_000, merge_threshold: float = 0.92, random_state: int = 42, accumulate: str = "float64"):
     """A second pass over unassigned pixels of tiles that were not deferred; probabilities stay as they are."""
     deferred = [t["tile_id"] for t in tiles if t["deferred"]]
     pool = labels.filter((F.col("label") < 0) & ~F.coalesce(F.col("tile_id").isin(deferred) if deferred else F.lit(False), F.lit(False)))
@@ -155,7 +159,7 @@ def rare_phase(labels: DataFrame, features: DataFrame, cube: Cube, tiles: list[d
     else:
         found = _fit_and_label(chosen, min_cluster_size, min_samples, 0, random_state)
     found = found.persist()
-    prints = [(r.label, r.n_pixels, np.array(r["mean"])) for r in fingerprint_means(found, cube, ["label"]).collect()]
+    prints = [(r.label, r.n_pixels, np.array(r["mean"])) for r in fingerprint_means(found, cube, ["label"], accumulate).collect()]
     registry = [{**e, "contributions": dict(e["contributions"])} for e in registry]
     merged, _ = register(registry, prints, merge_threshold, -1)
     to = labels.sparkSession.createDataFrame(list(merged.items()), "local int, phase int")

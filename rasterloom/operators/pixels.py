@@ -81,26 +81,59 @@ def zscore(cube: Cube, mask: DataFrame, stats: list | None = None) -> Cube:
     return cube.of(df.select("row", "col", *values), "normalized")
 
 
-def sequential_stats(cube: Cube, mask: DataFrame) -> list[tuple[str, float, float]]:
-    """Mean and spread from float32 sums in pixel order, row by row.
+def sequential_moments(rows: DataFrame, keys: list[str], names: list[str], spread: bool = True) -> list[tuple]:
+    """[(key, n, mean, std)] by ``keys`` from float32 sums in pixel order, row by row; key is a tuple, std may be None.
 
-    Opt-in, to repeat runs whose sums were accumulated in single precision. It is
-    sequential by nature: one task folds the pixels in order.
+    Opt-in, to repeat runs whose sums were accumulated in single precision. Such sums are
+    sequential by nature: one task folds the pixels of a key, a batch at a time. A row
+    a key comes to the driver, so keys are phases or clusters of tiles.
     """
-    names = list(cube.channels)
-    inside = pixel_ids(cube.df.join(mask.filter("mineral").select("row", "col"), ["row", "col"], "left_semi"))
-    ordered = inside.repartition(1).sortWithinPartitions("pixel_id").select(*(cell(c) for c in names))
-
-    def fold(batches):
-        import pandas as pd
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    values = [f"x{i}" for i in range(len(names))]
+    ordered = dealt.sortWithinPartitions(*keys, "row", "col").select(*keys, *(cell(c).cast("float").alias(v) for c, v in zip(names, values)))
+
+    def sums(means: dict | None) -> dict:
+        def fold(batches):
+            import pandas as pd
+
+            def row():
+                return pd.DataFrame([{**dict(zip(keys, at)), "n": n, "total": total}])
+
+            at, n, total = None, 0, None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, held = pdf[values].to_numpy(np.float32), pdf[keys].to_numpy()
+                cuts = np.flatnonzero((held[1:] != held[:-1]).any(axis=1)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(pdf)]):
+                    key = tuple(int(v) for v in held[lo])
+                    if key != at:
+                        if at is not None:
+                            yield row()
+                        at, n, total = key, 0, np.zeros(len(values), dtype=np.float32)
+                    part = x[lo:hi] if means is None else (x[lo:hi] - means[key]) ** 2
+                    total = np.add.accumulate(np.concatenate([total[None], part]), axis=0, dtype=np.float32)[-1]
+                    n += int(hi - lo)
+            if at is not None:
+                yield row()
+
+        got = ordered.mapInPandas(fold, f"{kinds}n long, total array<float>").collect()
+        return {tuple(r[k] for k in keys): (r.n, np.array(r.total, dtype=np.float32)) for r in got}
+
+    first = sums(None)
+    means = {k: total / np.float32(n) for k, (n, total) in first.items()}
+    stds = {k: np.sqrt(total / np.float32(n)) for k, (n, total) in sums(means).items()} if spread else {}
+    return [(k, n, means[k], stds.get(k)) for k, (n, _) in sorted(first.items())]
 
-        x = np.concatenate([b.to_numpy(dtype=np.float32) for b in batches if len(b)] or [np.zeros((0, len(names)), dtype=np.float32)])
-        n = np.float32(max(1, len(x)))
-        mean = np.add.reduce(x, axis=0, dtype=np.float32) / n
-        std = np.sqrt(np.add.reduce((x - mean) ** 2, axis=0, dtype=np.float32) / n)
-        yield pd.DataFrame({"channel": names, "mean": mean.astype(float), "std": std.astype(float)})
 
-    return ordered.mapInPandas(fold, "channel string, mean double, std double").collect()
+def sequential_stats(cube: Cube, mask: DataFrame) -> list[tuple[str, float, float]]:
+    """(channel, mean, std) of mineral pixels from float32 sums (see ``sequential_moments``); zero without any."""
+    names = list(cube.channels)
+    inside = cube.df.join(mask.filter("mineral").select("row", "col"), ["row", "col"], "left_semi")
+    found = sequential_moments(inside, [], names)
+    mean, std = found[0][2:] if found else (np.zeros(len(names)), np.zeros(len(names)))
+    return [(c, float(m), float(s)) for c, m, s in zip(names, mean, std)]
 
 
 def validate_normalized(cube: Cube, mask: DataFrame, tolerance: float = 0.01) -> DataFrame:

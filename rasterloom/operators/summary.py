@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pixels import Cube, cell
+from .pixels import Cube, cell, sequential_moments
 
 
 def cluster_stats(labels: DataFrame) -> DataFrame:
@@ -15,10 +15,18 @@ def cluster_stats(labels: DataFrame) -> DataFrame:
     return labels.filter("label >= 0").groupBy("label").agg(F.count("*").alias("n_pixels"), F.avg("prob").alias("mean_prob")).join(F.broadcast(whole)).select("label", "n_pixels", (100.0 * F.col("n_pixels") / F.col("total")).alias("pct"), "mean_prob")
 
 
-def fingerprints(labels: DataFrame, cube: Cube) -> DataFrame:
-    """(label, element, mean, std, n_pixels, area_pct): one aggregate, then long."""
+def fingerprints(labels: DataFrame, cube: Cube, accumulate: str = "float64") -> DataFrame:
+    """(label, element, mean, std, n_pixels, area_pct): one aggregate, then long.
+
+    With ``accumulate="float32"`` sums are sequential, in single precision and pixel order.
+    """
     names = cube.channels
     inside = labels.filter("label >= 0").select("row", "col", "label").join(cube.df, ["row", "col"])
+    if accumulate == "float32":
+        found = sequential_moments(inside, ["label"], list(names))
+        whole = sum(n for _, n, _, _ in found)
+        rows = [(k[0], c, float(m), float(s), n, 100.0 * n / whole) for k, n, mean, std in found for c, m, s in zip(names, mean, std)]
+        return labels.sparkSession.createDataFrame(rows, "label int, element string, mean double, std double, n_pixels long, area_pct double")
     wide = inside.groupBy("label").agg(F.count("*").alias("n_pixels"), *(f(cell(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))))
     wide = wide.withColumn("area_pct", 100.0 * F.col("n_pixels") / F.sum("n_pixels").over(W.partitionBy(F.lit(1))))  # a row a phase
     parts = ", ".join(f"'{c}', m{i}, s{i}" for i, c in enumerate(names))

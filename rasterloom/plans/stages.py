@@ -128,8 +128,8 @@ def stage(name, inputs, outputs, check=None, source=False, **params):
 
 #: Only the processor is used; other devices are refused.
 DEVICE = Param("enum", "cpu", ("cpu",))
-#: Sums in single precision depend on the order of pixels; only ``normalize`` offers them.
-DOUBLE = Param("enum", "float64", ("float64",))
+#: Sums in single precision depend on the order of pixels; they are sequential and repeat older runs.
+SUMS = Param("enum", "float64", ("float64", "float32"))
 
 
 def num(kind, template, least=None, most=None):
@@ -164,7 +164,7 @@ def _denoise(spark, x, p):
     return {"cube": stencil.bilateral(cube, mask, p["sigma_spatial"], p["sigma_color"], guide, method == "bilateral")}
 
 
-@stage("normalize", {"cube": "cube:denoised", "masks": "masks"}, {"cube": "cube:normalized"}, method=Param("enum", "zscore", ("zscore",)), accumulate=Param("enum", "float64", ("float64", "float32")), device=DEVICE)
+@stage("normalize", {"cube": "cube:denoised", "masks": "masks"}, {"cube": "cube:normalized"}, method=Param("enum", "zscore", ("zscore",)), accumulate=SUMS, device=DEVICE)
 def _normalize(spark, x, p):
     stats = None
     if p["accumulate"] == "float32":
@@ -183,7 +183,7 @@ def _pca(spark, x, p):
 
 
 def _plain(p: dict) -> dict:
-    return {k: v for k, v in p.items() if k not in ("device", "accumulate")}
+    return {k: v for k, v in p.items() if k != "device"}
 
 
 _CLUSTER = dict(min_cluster_size=num("int", 1000, 1), min_samples=num("int", 0, 0), subsample_n=num("int", 0, 0), random_state=num("int", 42), device=DEVICE)
@@ -194,13 +194,13 @@ def _global(spark, x, p):
     return {"labels": Labels(cluster.hdbscan_global(x["features"].df, **_plain(p)).withColumn("tile_id", F.lit(None).cast("int")), "raw")}
 
 
-@stage("hdbscan_tiled", {"features": "features", "cube": "cube:denoised"}, {"labels": "labels:raw", "tiles": "tiles"}, **_CLUSTER, tile_size=num("int", 512, 1), merge_threshold=num("float", 0.92, 0.0, 1.0), min_tile_pixels=num("int", 0, 0), min_clusters_per_tile=num("int", 3, 0), accumulate=DOUBLE)
+@stage("hdbscan_tiled", {"features": "features", "cube": "cube:denoised"}, {"labels": "labels:raw", "tiles": "tiles"}, **_CLUSTER, tile_size=num("int", 512, 1), merge_threshold=num("float", 0.92, 0.0, 1.0), min_tile_pixels=num("int", 0, 0), min_clusters_per_tile=num("int", 3, 0), accumulate=SUMS)
 def _tiled(spark, x, p):
     labels, tiles, registry = cluster.hdbscan_tiled(x["features"].df, x["cube"], **_plain(p))
     return {"labels": Labels(labels, "raw"), "tiles": Tiles(tiles, registry)}
 
 
-@stage("rare_phase", {"labels": "labels:raw", "features": "features", "cube": "cube:denoised", "tiles": "tiles"}, {"labels": "labels:raw", "tiles": "tiles"}, min_cluster_size=num("int", 50, 1), min_samples=num("int", 0, 0), subsample_n=num("int", 500_000, 0), merge_threshold=num("float", 0.92, 0.5, 1.0), random_state=num("int", 42), device=DEVICE, accumulate=DOUBLE)
+@stage("rare_phase", {"labels": "labels:raw", "features": "features", "cube": "cube:denoised", "tiles": "tiles"}, {"labels": "labels:raw", "tiles": "tiles"}, min_cluster_size=num("int", 50, 1), min_samples=num("int", 0, 0), subsample_n=num("int", 500_000, 0), merge_threshold=num("float", 0.92, 0.5, 1.0), random_state=num("int", 42), device=DEVICE, accumulate=SUMS)
 def _rare(spark, x, p):
     labels, registry = cluster.rare_phase(x["labels"].df, x["features"].df, x["cube"], x["tiles"].tiles, x["tiles"].registry, **_plain(p))
     return {"labels": Labels(labels, "raw"), "tiles": Tiles(x["tiles"].tiles, registry)}
@@ -216,9 +216,9 @@ def _stats(spark, x, p):
     return {"stats": summary.cluster_stats(x["labels"].df)}
 
 
-@stage("fingerprints", {"labels": "labels:cleaned", "cube": "cube:denoised"}, {"fingerprints": "fingerprints"}, similarity_threshold=num("float", 0.95, 0.0, 1.0), accumulate=DOUBLE)
+@stage("fingerprints", {"labels": "labels:cleaned", "cube": "cube:denoised"}, {"fingerprints": "fingerprints"}, similarity_threshold=num("float", 0.95, 0.0, 1.0), accumulate=SUMS)
 def _prints(spark, x, p):
-    prints = summary.fingerprints(x["labels"].df, x["cube"])
+    prints = summary.fingerprints(x["labels"].df, x["cube"], p["accumulate"])
     return {"fingerprints": {"prints": prints, "pairs": summary.similar_pairs(prints, p["similarity_threshold"]), "order": summary.element_order(prints)}}
 
 

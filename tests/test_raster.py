@@ -209,6 +209,36 @@ def test_correlation_with_a_constant_channel_is_null(spark):
     assert abs(got["A", "A"] - 1) < 1e-12 and got["A", "B"] is None and got["B", "B"] is None
 
 
+def test_single_precision_sums_run_in_pixel_order(spark):
+    rng = np.random.default_rng(6)
+    image, label = (rng.random((40, 30, 2)) * 1000).astype(np.float32), rng.integers(-1, 3, (40, 30))
+    r, c = (a.ravel() for a in np.indices(label.shape))
+    rows = list(zip(r.tolist(), c.tolist(), image[..., 0].ravel().tolist(), image[..., 1].ravel().tolist(), label.ravel().tolist(), (r // 20).tolist()))
+    df = spark.createDataFrame(rows, "row int, col int, A double, B double, label int, tile_id int").repartition(5)
+    cube = Cube(df.select("row", "col", "A", "B"), ("A", "B"))
+    labels = df.select("row", "col", "label", "tile_id")
+
+    def folded(part):
+        total = np.zeros(2, dtype=np.float32)
+        for v in part:
+            total = total + v
+        return total / np.float32(len(part))
+
+    got = {(x.label, x.element): x for x in summary.fingerprints(labels, cube, "float32").collect()}
+    assert len(got) == 6
+    for k in range(3):
+        part = image[label == k]
+        mean = folded(part)
+        std = np.sqrt(folded((part - mean) ** 2))
+        for i, e in enumerate("AB"):
+            assert got[k, e].mean == float(mean[i]) and got[k, e].std == float(std[i]) and got[k, e].n_pixels == len(part)
+    for x in cluster.fingerprint_means(labels, cube, ["tile_id", "label"], "float32").collect():
+        own = (label == x.label) & (np.arange(40)[:, None] // 20 == x.tile_id)
+        assert x["mean"] == folded(image[own]).astype(float).tolist() and x.n_pixels == own.sum()
+    whole = pixels.sequential_stats(cube, everywhere(spark, label.shape))
+    assert [m for _, m, _ in whole] == folded(image.reshape(-1, 2)).astype(float).tolist()
+
+
 def test_gains_need_the_same_pixels(spark):
     rows = lambda *v: spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "row int, col int, label int")
     assert {r.label: (r.n_pixels, r.gained) for r in summary.gained(rows(1, 1, 2), rows(-1, 1, -1)).collect()} == {1: (2, 1), 2: (1, 1)}
