@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -225,6 +226,30 @@ def log10_likelihood(model: Model, flat: np.ndarray, lengths: np.ndarray, longes
 
 # --- on the cluster -----------------------------------------------------------------------
 
+#: Bytes of text in a block, and of rows that meet in one batch between Spark and a Python worker.
+MOST = 4 << 20
+
+
+def in_small_batches(operator):
+    """``operator`` with its result written at once, and all its plans run in batches that end once they hold ``MOST`` bytes.
+
+    So blocks go to a Python worker one by one. By default Spark gathers 64 MB of rows in each
+    task, outside its heap and again in the worker. The session's setting is put back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **settings) -> DataFrame:
+        conf = docs.sparkSession.conf
+        before = conf.get(key)
+        conf.set(key, f"{MOST}b")
+        try:
+            return durable(operator(docs, *args, **settings))
+        finally:
+            conf.set(key, before)
+
+    return run
+
 
 def _dump(arrays) -> bytes:
     out = io.BytesIO()
@@ -237,7 +262,7 @@ def _load(blob: bytes) -> list[np.ndarray]:
     return [got[k] for k in got.files]
 
 
-def blocks_of(docs: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, most: int = 4 << 20) -> DataFrame:
+def blocks_of(docs: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, most: int = MOST) -> DataFrame:
     """Documents as bounded blocks: a dictionary, its training counts, and the texts as places in it."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), full_text(F.col(text_col)).alias("text"), (remainder(F.col(id_col), modulus) == held_out).alias("held_out"))
@@ -354,6 +379,7 @@ def gathered_counts(blocks: DataFrame, shared, fan: int = 16) -> list[np.ndarray
     return [sum(x) for x in zip(*parts)]
 
 
+@in_small_batches
 def score(
     docs: DataFrame,
     states: int = 8,
