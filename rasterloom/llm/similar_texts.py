@@ -9,14 +9,15 @@ decide a part, and texts that share them agree in all its bits or in all but one
 
 from __future__ import annotations
 
-from itertools import count, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, durable, forget, full_text, met, plainly
+from .common import byte_slices, durable, forget, full_text, met, plainly, ragged_take, starts
 from .simhash import components
 
 #: A segment of PARTS x 16 bits of two texts of similarity 0.8 agrees but for one bit among the
@@ -135,16 +136,68 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return out
 
 
-def linked(marked: DataFrame, words: int = 5, percent: int = 80, few: int = 16) -> DataFrame:
-    """(node, root) of the sets of shingles joined to others by chains of similar pairs.
+def crossing(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of every two groups that meet in a variant, one similar pair (a, b) if there is any there; all pairs across groups are compared.
+
+    ``rows`` (key, a, root, tiles) are the sets of variants and their groups. A variant's sets
+    are dealt to its ``tiles``, and any two tiles meet in a task, which counts the common shingles
+    of all pairs across groups from lists of holders; no row is made for a pair that is not similar.
+    """
+    wanted = rows.select(F.col("a").alias("node")).distinct()
+    found = texts.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+
+    def listed(batches):
+        for batch in batches:
+            for b in byte_slices([batch], "t", 2 << 20):
+                sets = [np.unique(shingles(t, words)) for t in b.column("t").to_pylist()]
+                offsets = pa.array(starts(np.array([len(s) for s in sets])), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["a", "held"])
+
+    def compare(rows):
+        a, root, held = (rows[c].combine_chunks() for c in ("a", "root", "held"))
+        a, group = a.to_numpy(), np.unique(root.to_numpy(), return_inverse=True)[1]
+        p, q = similar_across(held.flatten().to_numpy(), pc.list_value_length(held).to_numpy().astype(np.int64), group, percent)
+        return pa.table({"a": a[p], "b": a[q]})
+
+    held = durable(found.select("node", "t").mapInArrow(listed, "a long, held array<long>"))
+    tile = F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")
+    met_in = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least(u, tile).alias("i"), F.greatest(u, tile).alias("j")))
+    dealt = rows.select("key", "a", "root", F.explode(met_in).alias("at")).select("key", "a", "root", "at.i", "at.j")
+    out = durable(dealt.join(held.hint("merge"), "a").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+    forget(held)
+    return out
+
+
+def similar_across(flat: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q) of one pair of sets at ``percent`` or more for every two groups that have such a pair.
+
+    ``flat`` has the elements of the sets one after another. No pair across groups has both
+    sets in the largest, so the sets outside it are compared with all.
+    """
+    n, of = len(size), np.repeat(np.arange(len(size)), size)
+    element = np.unique(flat, return_inverse=True)[1]
+    holders = of[np.argsort(element, kind="stable")]
+    many = np.bincount(element)
+    first, at = starts(many), starts(size)
+    found = {}
+    for x in np.flatnonzero(group != np.bincount(group).argmax()):
+        mine = element[at[x] : at[x + 1]]
+        both = np.bincount(holders[ragged_take(first[mine], many[mine])], minlength=n)
+        for y in np.flatnonzero((100 * both >= percent * (size[x] + size - both)) & (group != group[x])):
+            found.setdefault((min(group[x], group[y]), max(group[x], group[y])), (x, y))
+    pairs = np.array([*found.values()], dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def linked(marked: DataFrame, words: int = 5, percent: int = 80, few: int = 16, tile: int = 1024) -> DataFrame:
+    """(node, root) of the sets of shingles joined to others by chains of similar pairs: all that share a variant.
 
     The sets under a variant first meet two of them: the one that shares most variants with
     others, which is near the middle of a family of copies, and the least. Where a
     variant then spans several groups, its pairs across groups are candidates if it has
-    at most ``few`` sets; the sets of a larger one meet two further members, drawn anew
-    each round, until a round finds no link. Candidates so grow in proportion to sets, and every one is
-    decided by its true similarity. What this leaves out: in a variant of more than ``few``
-    sets, a pair that no chain of links joins and of which neither was drawn.
+    at most ``few`` sets; the sets of a larger one meet two further members. Variants of more than
+    ``few`` sets that still span groups then have all their pairs across groups compared
+    in tasks of two tiles of about ``tile`` sets, so that no similar pair under a variant is left apart.
     """
     texts = marked.select("node", "t")
     nodes = durable(marked.select("node", "size", "keys").dropDuplicates(["node"]))
@@ -162,25 +215,28 @@ def linked(marked: DataFrame, words: int = 5, percent: int = 80, few: int = 16)
         found = [x.select("a", F.col(f"{e}.a").alias("b"), "sa", F.col(f"{e}.sa").alias("sb")) for x, e in zip(found, ends)]
         return found[0].unionByName(found[1])
 
-    edges = similar(pairs_with(star, "p", "q"), texts, words, percent)
-    candidates = shared.select("key", "a", "sa", "n")
-    for turn in count():
-        roots = durable(components(edges))
+    def spanning(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of variants that span groups, with their group and what is known of the variant."""
         rooted = candidates.join(roots.hint("merge"), F.col("a") == F.col("node"), "left").select("key", "a", "sa", F.coalesce("root", "a").alias("root"))
-        drawn = F.xxhash64("a", F.lit(turn)).alias("h")
-        spans = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("z"), F.min(F.struct(drawn, "a", "sa", "root")).alias("p"), F.max(F.struct("root", drawn, "a", "sa")).alias("q"))
-        open_rows = durable(met(rooted, durable(spans.filter("r < z").drop("r", "z")), ["key"], rows))
-        more = pairs_with(open_rows.filter(F.col("n") > few), "p", "q")
-        if not turn:
-            x, y = (open_rows.filter(F.col("n") <= few).select("key", "a", "sa", "root").alias(s) for s in "xy")
-            across = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-            more = more.unionByName(across.select("x.a", F.col("y.a").alias("b"), "x.sa", F.col("y.sa").alias("sb")))
-        new = similar(more, texts, words, percent)
-        if new.isEmpty():
-            return roots
-        edges = edges.unionByName(new)
-        forget(roots)
-        candidates = open_rows.filter(F.col("n") > few).select("key", "a", "sa", "n")
+        drawn = F.xxhash64("a", F.lit(0)).alias("h")
+        tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("sa") / (1 << 20))).cast("int").alias("tiles")  # of about 8 MB at most
+        spans = rooted.groupBy("key").agg(F.count("*").alias("n"), tiles, F.min("root").alias("r"), F.max("root").alias("z"), F.min(F.struct(drawn, "a", "sa", "root")).alias("p"), F.max(F.struct("root", drawn, "a", "sa")).alias("q"))
+        return durable(met(rooted, durable(spans.filter("r < z").drop("r", "z")), ["key"], rows))
+
+    edges = similar(pairs_with(star, "p", "q"), texts, words, percent)
+    roots = durable(components(edges))
+    open_rows = spanning(shared.select("key", "a", "sa"), roots)
+    x, y = (open_rows.filter(F.col("n") <= few).select("key", "a", "sa", "root").alias(s) for s in "xy")
+    across = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
+    more = pairs_with(open_rows.filter(F.col("n") > few), "p", "q").unionByName(across.select("x.a", F.col("y.a").alias("b"), "x.sa", F.col("y.sa").alias("sb")))
+    edges = edges.unionByName(similar(more, texts, words, percent))
+    forget(roots)
+    roots = durable(components(edges))
+    new = crossing(spanning(open_rows.filter(F.col("n") > few).select("key", "a", "sa"), roots).select("key", "a", "root", "tiles"), texts, words, percent)
+    if new.isEmpty():
+        return roots
+    forget(roots)
+    return durable(components(edges.unionByName(new)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

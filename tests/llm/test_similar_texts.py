@@ -1,6 +1,7 @@
 """Near-dedup of the pipeline against brute force over true similarities."""
 
 import numpy as np
+import pytest
 
 from rasterloom.llm import similar_texts
 
@@ -45,3 +46,24 @@ def test_near_copies_go_and_others_stay(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert left == survivors(texts)
+
+
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_no_similar_pair_in_a_crowded_variant_is_left_apart(spark, tile):
+    rng, texts = np.random.default_rng(4), []
+    for _ in range(40):  # all under one variant; forty pairs alike, nothing between the pairs
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+        texts += [" ".join(w), " ".join([*w[:50], "other", *w[51:]])]
+    docs = spark.createDataFrame([(int(i), t, len(s), [7]) for i, (t, s) in enumerate(zip(texts, sets(texts)))], "node long, t string, size long, keys array<long>")
+    got = {r.node: r.root for r in similar_texts.linked(docs, tile=tile).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_pairs_across_groups_are_those_of_brute_force():
+    rng = np.random.default_rng(5)
+    held = [np.unique(rng.integers(0, 12, rng.integers(1, 12))) for _ in range(60)]
+    group = rng.integers(0, 9, 60)
+    p, q = similar_texts.similar_across(np.concatenate(held), np.array([len(x) for x in held]), group, 80)
+    alike = lambda x, y: 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})
+    want = {(min(group[i], group[j]), max(group[i], group[j])) for i in range(60) for j in range(i) if group[i] != group[j] and alike(held[i], held[j])}
+    assert want and {(min(group[i], group[j]), max(group[i], group[j])) for i, j in zip(p, q)} == want and all(alike(held[i], held[j]) for i, j in zip(p, q))
