@@ -189,6 +189,38 @@ def similar_across(flat: np.ndarray, size: np.ndarray, group: np.ndarray, percen
     return pairs[:, 0], pairs[:, 1]
 
 
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), and of each the least node reachable from it."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    up = np.arange(len(nodes))
+    while len(a):
+        x, y = up[a], up[b]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))  # roots meet lesser roots
+        while (up[up] != up).any():
+            up = up[up]
+        apart = up[a] != up[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[up]
+
+
+def grouped(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(node, root) as by ``components``, written. Of up to ``most`` edges (16 MB) a single task makes the groups; more go through its rounds.
+
+    ``edges`` (a, b) must be cheap to read: plain scans of what is written. A round is seven
+    queries of many tasks each, whatever their rows, and the driver keeps a record of every one.
+    """
+    if edges.count() > most:
+        return durable(components(edges))
+
+    def run(batches):
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_reachable(*map(np.concatenate, zip(*parts)))], names=["node", "root"])
+
+    return durable(edges.coalesce(1).mapInArrow(run, "node long, root long"))
+
+
 def linked(marked: DataFrame, words: int = 5, percent: int = 80, few: int = 16, tile: int = 1024) -> DataFrame:
     """(node, root) of the sets of shingles joined to others by chains of similar pairs: all that share a variant.
 
@@ -224,19 +256,19 @@ def linked(marked: DataFrame, words: int = 5, percent: int = 80, few: int = 16,
         return durable(met(rooted, durable(spans.filter("r < z").drop("r", "z")), ["key"], rows))
 
     edges = similar(pairs_with(star, "p", "q"), texts, words, percent)
-    roots = durable(components(edges))
+    roots = grouped(edges)
     open_rows = spanning(shared.select("key", "a", "sa"), roots)
     x, y = (open_rows.filter(F.col("n") <= few).select("key", "a", "sa", "root").alias(s) for s in "xy")
     across = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
     more = pairs_with(open_rows.filter(F.col("n") > few), "p", "q").unionByName(across.select("x.a", F.col("y.a").alias("b"), "x.sa", F.col("y.sa").alias("sb")))
-    edges = edges.unionByName(similar(more, texts, words, percent))
-    forget(roots)
-    roots = durable(components(edges))
+    first, roots = roots, grouped(roots.toDF("a", "b").unionByName(similar(more, texts, words, percent)))  # groups are stars; new pairs join them
+    forget(first)
     new = crossing(spanning(open_rows.filter(F.col("n") > few).select("key", "a", "sa"), roots).select("key", "a", "root", "tiles"), texts, words, percent)
     if new.isEmpty():
         return roots
+    last = grouped(roots.toDF("a", "b").unionByName(new))
     forget(roots)
-    return durable(components(edges.unionByName(new)))
+    return last
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,3 +67,32 @@ def test_pairs_across_groups_are_those_of_brute_force():
     alike = lambda x, y: 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})
     want = {(min(group[i], group[j]), max(group[i], group[j])) for i in range(60) for j in range(i) if group[i] != group[j] and alike(held[i], held[j])}
     assert want and {(min(group[i], group[j]), max(group[i], group[j])) for i, j in zip(p, q)} == want and all(alike(held[i], held[j]) for i, j in zip(p, q))
+
+
+def test_groups_of_few_edges_are_those_of_the_rounds(spark):
+    rng = np.random.default_rng(6)
+    path = rng.permutation(400) - 200  # a long chain in no order, a hub that is the largest of its group, loops, repeats
+    pairs = [*zip(path, path[1:]), *((9000, x) for x in range(1000, 1100)), (7, 7), (5000, 5000), (6000, 6001), (6001, 6000), (6000, 6001)]
+    edges = similar_texts.durable(spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long"))
+    want = {x: -200 for x in range(-200, 200)} | {x: 1000 for x in [9000, *range(1000, 1100)]} | {6000: 6000, 6001: 6000}
+    for most in (1 << 20, 10):
+        got = {r.node: r.root for r in similar_texts.grouped(edges, most).collect()}
+        assert {x: got[x] for x in want} == want and all(got[x] == x for x in got.keys() - want.keys())
+    assert similar_texts.grouped(edges.filter("a > 10000")).count() == 0
+
+
+def test_grouping_runs_few_jobs(spark):
+    rng, texts = np.random.default_rng(8), []
+    for _ in range(20):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+        texts += [" ".join(w), " ".join([*w[:50], "other", *w[51:]])]
+    docs = spark.createDataFrame([(int(i), t, len(s), [7]) for i, (t, s) in enumerate(zip(texts, sets(texts)))], "node long, t string, size long, keys array<long>")
+    spark.sparkContext.setJobGroup("grouping", "grouping")
+    try:
+        got = {r.node: r.root for r in similar_texts.linked(docs).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("grouping"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert got == {i: i - i % 2 for i in range(40)}
+    assert jobs <= 100
