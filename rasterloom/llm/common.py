@@ -28,15 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def durable(df: DataFrame, **options) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, with further ``options`` of the writer, and read again.
 
     This cuts the lineage: an executor lost later costs a re-read, not a
     recomputation, and a plan that uses the rows twice computes them once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     spark.sparkContext._jvm.System.gc()  # the shuffle files behind a finished intermediate are removed once its plan is collected
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -229,6 +229,10 @@ def log10_likelihood(model: Model, flat: np.ndarray, lengths: np.ndarray, longes
 #: Bytes of text in a block, and of rows that meet in one batch between Spark and a Python worker.
 MOST = 4 << 20
 
+#: A block is a row group of its own. By default Parquet looks at sizes every hundred rows, so up to a hundred
+#: blocks met in one page, and in the heap of each task that wrote them and then of each that read them.
+BY_BLOCK = {"parquet.block.row.count.limit": 1}
+
 
 def in_small_batches(operator):
     """``operator`` with its result written at once, and all its plans run in batches that end once they hold ``MOST`` bytes.
@@ -410,7 +414,7 @@ def score(
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = durable(blocks_of(docs, modulus, held_out, id_col, text_col))
+    blocks = durable(blocks_of(docs, modulus, held_out, id_col, text_col), **BY_BLOCK)
     entries = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     parts = 16 + entries // 200_000  # a part is counted in one task, whatever the input
     vocabulary = durable(vocabulary_of(blocks, parts, frequent, shared_classes))
